@@ -1,0 +1,6 @@
+"""Queries over the driver tables, one or more per operator."""
+
+from . import chart_queries, engine_queries  # noqa: F401
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
