@@ -82,7 +82,7 @@ def native_date(text: Column) -> Column:
         .when(text.rlike(slashed), F.regexp_replace(text, slashed, "$1-$2-$3$4").try_cast("timestamp"))
         .when(text.rlike(month_first), F.regexp_replace(text, month_first, "$3-$1-$2$4").try_cast("timestamp"))
         .when(
-            text.rlike(r"(?i)\b(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)"),
+            (F.length(text) <= 40) & text.rlike(r"(?i)\b(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)"),
             F.coalesce(*(F.try_to_timestamp(named, F.lit(f)) for f in MONTH_NAME_FORMATS)),
         )
     )

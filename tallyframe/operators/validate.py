@@ -79,9 +79,9 @@ def check_empty(meta: ColumnMeta, c: Column) -> list[Column]:
 
 def check_range(meta: ColumnMeta, c: Column) -> list[Column]:
     lo, hi = number_limits(meta)
-    name, out = meta.name, [
-        F.when(F.isnan(c) | (F.abs(c) == float("inf")),
-               error(name, "invalid_format", f"{name}: not a finite number", c))]
+    name = meta.name
+    out = [F.when(F.isnan(c) | (F.abs(c) == float("inf")),
+                  error(name, "invalid_format", f"{name}: not a finite number", c))]
     if lo is not None:
         out.append(F.when(c < lo, error(name, "constraint_violation", f"{name}: below minimum {lo}", c)))
     if hi is not None:

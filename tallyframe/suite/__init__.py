@@ -1,6 +1,8 @@
 """Queries over the driver tables, one or more per operator."""
 
-from . import chart_queries, engine_queries  # noqa: F401
+from . import (  # noqa: F401
+    chart_queries, cleaning_queries, engine_queries, ingest_queries, profile_queries, quarantine_queries,
+)
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
