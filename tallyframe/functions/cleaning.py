@@ -37,15 +37,26 @@ MONTH_NAME_FORMATS = (
 )
 
 
+def stripped(c: Column) -> Column:
+    """Without white space at both ends."""
+    return F.btrim(c.cast("string"), F.lit(WHITE_SPACE))
+
+
 def trimmed(c: Column) -> Column:
     """Without white space at both ends; null when nothing is left."""
-    return F.nullif(F.btrim(c.cast("string"), F.lit(WHITE_SPACE)), F.lit(""))
+    return F.nullif(stripped(c), F.lit(""))
+
+
+def unquoted(c: Column) -> Column:
+    """Without double quotes and white space at both ends."""
+    return stripped(F.replace(c.cast("string"), F.lit('"'), F.lit("")))
 
 
 def clean_string(c: Column) -> Column:
     """No double quotes, trimmed, first letter upper, the rest lower case."""
-    text = trimmed(F.replace(c.cast("string"), F.lit('"'), F.lit("")))
-    return F.concat(F.upper(F.substring(text, 1, 1)), F.lower(F.substring(text, 2, 2147483647)))
+    text = unquoted(c)
+    cased = F.concat(F.upper(F.substring(text, 1, 1)), F.lower(F.substring(text, 2, 2147483647)))
+    return F.nullif(cased, F.lit(""))
 
 
 def clean_number(c: Column) -> Column:
@@ -54,7 +65,7 @@ def clean_number(c: Column) -> Column:
 
 
 def clean_boolean(c: Column) -> Column:
-    word = F.lower(trimmed(c))
+    word = F.lower(stripped(c))
     return F.when(word.isin(*TRUE_WORDS), True).when(word.isin(*FALSE_WORDS), False)
 
 
@@ -68,7 +79,7 @@ def clean_unknown(c: Column, dtype: T.DataType | None = None) -> Column:
 
 
 def _day(year: Column, month: Column, day: Column) -> Column:
-    return F.concat_ws("-", year, month, day).try_cast("date").cast("timestamp")
+    return F.concat(year, F.lit("-"), month, F.lit("-"), day).try_cast("date").cast("timestamp")
 
 
 def native_date(text: Column) -> Column:
@@ -95,22 +106,31 @@ def parse_date(c: Column) -> Column:
     month-first dates with ``-`` or ``/`` are tried in that order, then the
     forms of ``native_date``. A day the calendar does not have is null.
     """
-    text = trimmed(F.replace(c.cast("string"), F.lit('"'), F.lit("")))
+    return parse_plain_date(unquoted(c))
+
+
+def parse_plain_date(text: Column) -> Column:
+    """``parse_date`` of a text without quotes and outer white space.
+
+    Length and separators pick the common forms, so these need no regular
+    expression; the cast to a date rejects whatever is not one.
+    """
+    def separated(*positions: int) -> Column:
+        ok = F.octet_length(text) == 10
+        for p in positions:
+            ok = ok & F.substring(text, p, 1).isin("-", "/")
+        return ok
+
     serial = F.floor(text.try_cast("double"))
     from_serial = F.when(
         F.abs(serial) <= _MAX_SERIAL,
         F.date_add(F.lit(SERIAL_DATE_EPOCH).cast("date"), serial.try_cast("int")).cast("timestamp"),
     )
-    plain_dmy = r"^\d{2}[-/]\d{2}[-/]\d{4}$"
-    a, b = F.substring(text, 1, 2), F.substring(text, 4, 2)
-    year_last = F.substring(text, 7, 4)
+    a, b, year = F.substring(text, 1, 2), F.substring(text, 4, 2), F.substring(text, 7, 4)
     return (
-        F.when(text.rlike(NUMBER_TEXT), from_serial)
-        .when(text.rlike(plain_dmy), F.coalesce(_day(year_last, b, a), _day(year_last, a, b)))
-        .when(
-            text.rlike(r"^\d{4}[-/]\d{2}[-/]\d{2}$"),
-            _day(F.substring(text, 1, 4), F.substring(text, 6, 2), F.substring(text, 9, 2)),
-        )
+        F.when(separated(5, 8), _day(F.substring(text, 1, 4), F.substring(text, 6, 2), F.substring(text, 9, 2)))
+        .when(separated(3, 6), F.coalesce(_day(year, b, a), _day(year, a, b)))
+        .when(text.rlike(NUMBER_TEXT), from_serial)
         .otherwise(native_date(text))
     )
 

@@ -7,11 +7,14 @@ is needed.
 
 from __future__ import annotations
 
+from functools import reduce
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.cleaning import (
-    BOOLEAN_TYPES, DATE_TYPES, FALSE_WORDS, NUMBER_TYPES, TEXT_TYPES, TRUE_WORDS,
-    clean_boolean, clean_string, leading_number, parse_date, trimmed,
+    BOOLEAN_TYPES, DATE_TYPES, FALSE_WORDS, NUMBER_TYPES, TRUE_WORDS, clean_boolean, leading_number,
+    parse_date, parse_plain_date, stripped, trimmed, unquoted,
 )
 from ..functions.names import has_name_token
 from .columns import ColumnMeta, resolve_cleaner, resolved_kind, spark_type
@@ -50,11 +53,27 @@ def error(field: str | None, kind: str, message: Column | str, value: Column | N
     )
 
 
-def error_list(checks: list[Column]) -> Column:
+class Check(NamedTuple):
+    """A condition that makes a row wrong, and the error it then carries."""
+
+    failed: Column
+    error: Column
+
+
+def any_failed(checks: list[Check]) -> Column:
+    return reduce(lambda a, b: a | b, (F.coalesce(c.failed, F.lit(False)) for c in checks), F.lit(False))
+
+
+def failures(checks: list[Check]) -> Column:
     """Array of the errors that occurred; one per message, in check order."""
     if not checks:
         return F.array().cast(ERRORS)
-    return F.array_distinct(F.filter(F.array(*checks), lambda e: e.isNotNull())).cast(ERRORS)
+    return F.array_distinct(F.array_compact(F.array(*(F.when(c.failed, c.error) for c in checks)))).cast(ERRORS)
+
+
+def error_list(checks: list[Check]) -> Column:
+    """``failures``, built only for the rows that have one: most rows stop at the conditions."""
+    return F.when(any_failed(checks), failures(checks)).otherwise(F.array().cast(ERRORS))
 
 
 def number_limits(meta: ColumnMeta) -> tuple[float | None, float | None]:
@@ -65,54 +84,54 @@ def number_limits(meta: ColumnMeta) -> tuple[float | None, float | None]:
     return lo, hi
 
 
-def check_required(meta: ColumnMeta, c: Column) -> list[Column]:
+def check_required(meta: ColumnMeta, c: Column) -> list[Check]:
     if meta.nullable:
         return []
-    return [F.when(c.isNull(), error(meta.name, "missing_required_value", f"{meta.name}: a value is required"))]
+    return [Check(c.isNull(), error(meta.name, "missing_required_value", f"{meta.name}: a value is required"))]
 
 
-def check_empty(meta: ColumnMeta, c: Column) -> list[Column]:
+def check_empty(meta: ColumnMeta, c: Column) -> list[Check]:
     """Empty text where null is meant."""
     kind = "invalid_format" if meta.nullable else "missing_required_value"
-    return [F.when(c == "", error(meta.name, kind, f"{meta.name}: empty text instead of null", c))]
+    return [Check(c == "", error(meta.name, kind, f"{meta.name}: empty text instead of null", c))]
 
 
-def check_range(meta: ColumnMeta, c: Column) -> list[Column]:
+def check_range(meta: ColumnMeta, c: Column) -> list[Check]:
     lo, hi = number_limits(meta)
     name = meta.name
-    out = [F.when(F.isnan(c) | (F.abs(c) == float("inf")),
-                  error(name, "invalid_format", f"{name}: not a finite number", c))]
+    out = [Check(F.isnan(c) | (F.abs(c) == float("inf")),
+                 error(name, "invalid_format", f"{name}: not a finite number", c))]
     if lo is not None:
-        out.append(F.when(c < lo, error(name, "constraint_violation", f"{name}: below minimum {lo}", c)))
+        out.append(Check(c < lo, error(name, "constraint_violation", f"{name}: below minimum {lo}", c)))
     if hi is not None:
-        out.append(F.when(c > hi, error(name, "constraint_violation", f"{name}: above maximum {hi}", c)))
+        out.append(Check(c > hi, error(name, "constraint_violation", f"{name}: above maximum {hi}", c)))
     return out
 
 
-def check_integer(meta: ColumnMeta, c: Column) -> list[Column]:
-    whole = F.when(c != F.floor(c), error(meta.name, "invalid_format", f"{meta.name}: must be a whole number", c))
+def check_integer(meta: ColumnMeta, c: Column) -> list[Check]:
+    whole = Check(c != F.floor(c), error(meta.name, "invalid_format", f"{meta.name}: must be a whole number", c))
     return [whole, *check_range(meta, c)]
 
 
 def _bad_word(c: Column) -> Column:
-    return ~F.lower(trimmed(c)).isin(*TRUE_WORDS, *FALSE_WORDS)
+    return ~F.lower(stripped(c)).isin(*TRUE_WORDS, *FALSE_WORDS)
 
 
-def check_boolean(meta: ColumnMeta, c: Column) -> list[Column]:
-    return [F.when(_bad_word(c), error(meta.name, "invalid_format", f"{meta.name}: not a true/false word", c))]
+def check_boolean(meta: ColumnMeta, c: Column) -> list[Check]:
+    return [Check(_bad_word(c), error(meta.name, "invalid_format", f"{meta.name}: not a true/false word", c))]
 
 
-def check_date(meta: ColumnMeta, c: Column) -> list[Column]:
-    return [F.when(c.isNotNull() & parse_date(c).isNull(),
-                   error(meta.name, "invalid_format", f"{meta.name}: not a date", c))]
+def check_date(meta: ColumnMeta, c: Column) -> list[Check]:
+    return [Check(c.isNotNull() & parse_date(c).isNull(),
+                  error(meta.name, "invalid_format", f"{meta.name}: not a date", c))]
 
 
-def check_enum(meta: ColumnMeta, c: Column) -> list[Column]:
+def check_enum(meta: ColumnMeta, c: Column) -> list[Check]:
     allowed = meta.constraints.get("enum")
     if not allowed:
         return []
-    return [F.when(~c.isin(*allowed), error(meta.name, "constraint_violation",
-                                            f"{meta.name}: value is not one of the allowed ones", c))]
+    return [Check(~c.isin(*allowed), error(meta.name, "constraint_violation",
+                                           f"{meta.name}: value is not one of the allowed ones", c))]
 
 
 def names_a_boolean(name: str) -> bool:
@@ -121,30 +140,28 @@ def names_a_boolean(name: str) -> bool:
     return any(p in low for p in BOOLEAN_NAME_PARTS) or any(f"_{t}_" in padded for t in BOOLEAN_NAME_TOKENS)
 
 
-def check_boolean_by_name(meta: ColumnMeta, c: Column) -> list[Column]:
+def check_boolean_by_name(meta: ColumnMeta, c: Column) -> list[Check]:
     """A text column named like a flag must hold true/false words."""
     if meta.kind in BOOLEAN_TYPES or not names_a_boolean(meta.name):
         return []
-    return [F.when(_bad_word(c), error(meta.name, "invalid_format", f"{meta.name}: looks like a flag", c))]
+    return [Check(_bad_word(c), error(meta.name, "invalid_format", f"{meta.name}: looks like a flag", c))]
 
 
 def check_unusable(cols: list[Column]) -> Column:
     """No column holds a value."""
-    return F.coalesce(*(F.nullif(c.cast("string"), F.lit("")) for c in cols)).isNull()
+    return reduce(lambda a, b: a & b, (F.coalesce(c.cast("string"), F.lit("")) == "" for c in cols))
 
 
-def _mismatch(meta: ColumnMeta, c: Column, wanted: str) -> Column:
-    return F.when(c.isNotNull(), error(meta.name, "type_mismatch", f"{meta.name}: expected {wanted}", c))
+def _mismatch(meta: ColumnMeta, c: Column, wanted: str) -> Check:
+    return Check(c.isNotNull(), error(meta.name, "type_mismatch", f"{meta.name}: expected {wanted}", c))
 
 
-def column_checks(meta: ColumnMeta, c: Column, boolean_names: bool = False) -> list[Column]:
-    """Errors of a cleaned column ``c``, whose Spark type follows from ``meta``."""
+def column_checks(meta: ColumnMeta, c: Column, boolean_names: bool = False) -> list[Check]:
+    """Checks of a cleaned column ``c``, whose Spark type follows from ``meta``."""
     kind, cleaned = meta.kind, spark_type(meta)
     numeric = isinstance(cleaned, T.NumericType)
     text = isinstance(cleaned, T.StringType)
     out = check_required(meta, c)
-    if text:
-        out += check_empty(meta, c)
     if kind in ("number", "decimal") or has_name_token(meta.name, NUMBER_NAMES):
         out += check_range(meta, c) if numeric else [_mismatch(meta, c, "a number")]
     if kind == "integer" or has_name_token(meta.name, WHOLE_NUMBER_NAMES):
@@ -156,113 +173,115 @@ def column_checks(meta: ColumnMeta, c: Column, boolean_names: bool = False) -> l
     return out
 
 
-def raw_map(names: list[str]) -> Column:
-    """The row as read, by column name."""
-    pairs = [x for n in names for x in (F.lit(n), F.col(f"`{n}`").cast("string"))]
-    return F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>")
+def _prepared(meta: ColumnMeta | None, raw: Column) -> Column:
+    """Text a cleaner starts from: date texts lose quotes and outer white space once."""
+    return unquoted(raw) if meta is not None and resolved_kind(meta) in DATE_TYPES else raw.cast("string")
 
 
-def _typed(meta: ColumnMeta, raw: Column) -> Column:
+def _cleaned(meta: ColumnMeta, text: Column) -> Column:
+    if resolved_kind(meta) in DATE_TYPES:
+        return parse_plain_date(text)
     cleaner = resolve_cleaner(meta)
-    if cleaner is None:
-        return F.nullif(raw.cast("string"), F.lit(""))
-    return cleaner(raw)
+    return F.nullif(text, F.lit("")) if cleaner is None else cleaner(text)
 
 
-def _stored(meta: ColumnMeta, c: Column) -> Column:
-    """Cleaned value in the type it is stored with."""
-    return c.try_cast("long") if isinstance(spark_type(meta), T.LongType) else c
+def _repaired(meta: ColumnMeta, text: Column) -> Column:
+    """Lenient cleaning: text keeps its case and a number may be followed by a unit."""
+    kind = resolved_kind(meta)
+    if kind in NUMBER_TYPES:
+        return leading_number(text)
+    if kind in BOOLEAN_TYPES:
+        return clean_boolean(text)
+    return parse_plain_date(text) if kind in DATE_TYPES else trimmed(text)
 
 
-def _repaired(meta: ColumnMeta, raw: Column) -> tuple[Column, list[Column]]:
-    """Lenient cleaning for the repair path: (typed value, errors for text left unread)."""
-    kind, text = resolved_kind(meta), trimmed(raw)
+def _unread(meta: ColumnMeta, text: Column, value: Column) -> list[Check]:
+    """Text the repair path could not read is an error of its own, not a missing value."""
+    kind = resolved_kind(meta)
+    lost = value.isNull() & (stripped(text) != "")
     if kind in NUMBER_TYPES:
-        c = leading_number(raw)
-        return c, [F.when(text.isNotNull() & c.isNull(),
-                          error(meta.name, "type_mismatch", f"{meta.name}: expected a number", text))]
+        return [Check(lost, error(meta.name, "type_mismatch", f"{meta.name}: expected a number", text))]
     if kind in BOOLEAN_TYPES:
-        return clean_boolean(raw), check_boolean(meta, text)
-    if kind in DATE_TYPES:
-        return parse_date(raw), []
-    return text, []
+        return [Check(lost, error(meta.name, "invalid_format", f"{meta.name}: not a true/false word", text))]
+    return []
+
+
+def _stored(meta: ColumnMeta, c: Column) -> Column:
+    """Cleaned value in the type it is stored with."""
+    return c.try_cast("long") if isinstance(spark_type(meta), T.LongType) else c
 
 
 def annotate(df: DataFrame, schema: list[ColumnMeta], mode: str = "ingest",
              boolean_names: bool = False) -> DataFrame:
-    """Typed columns plus ``_raw``, ``_errors``, ``_warnings`` and ``_structural``.
+    """Typed columns plus ``_valid``, ``_raw`` and ``_errors`` of wrong rows, ``_warnings``, ``_structural``.
 
     ``df`` holds text columns (and optionally row number, source file and corrupt
-    record). ``mode="repair"`` cleans as the quarantine repair does: text keeps
-    its case and a number may be followed by a unit.
+    record). ``mode="repair"`` cleans as the quarantine repair does. The steps are
+    stacked projections, so each value is cleaned once; error records and raw maps
+    are built for wrong rows only.
     """
     by_name = {m.name.lower(): m for m in schema}
     names = [n for n in df.columns if n not in SYSTEM_COLUMNS]
-    structural = F.col(CORRUPT).isNotNull() if CORRUPT in df.columns else F.lit(False)
-
-    # Level 1: typed values beside the raw ones, so checks reuse them.
-    typed, unread = [], {}
-    for n in names:
-        meta, raw = by_name.get(n.lower()), F.col(f"`{n}`")
-        if meta is None:
-            value = raw
-        elif mode == "repair":
-            value, unread[n] = _repaired(meta, raw)
-        else:
-            value = _typed(meta, raw)
-        typed.append(value.alias(n))
+    metas = [by_name.get(n.lower()) for n in names]
+    has_corrupt = CORRUPT in df.columns
     system = [F.col(n) for n in SYSTEM_COLUMNS if n in df.columns]
-    wide = df.select(*system, F.struct(*(F.col(f"`{n}`").cast("string").alias(n) for n in names)).alias("_r"),
-                     F.struct(*typed).alias("_t"))
-
-    def t(n: str) -> Column:
-        return F.col("_t").getField(n)
-
-    def r(n: str) -> Column:
-        return F.col("_r").getField(n)
-
-    # Level 2: errors and warnings.
-    checks, warnings = [], []
-    for n in names:
-        meta = by_name.get(n.lower())
-        if meta is None:
+    raws = [F.col(f"__r{i}") for i in range(len(names))]
+    texts = [F.col(f"__x{i}") if m is not None and resolved_kind(m) in DATE_TYPES else raws[i]
+             for i, m in enumerate(metas)]
+    values = [F.col(f"__v{i}") for i in range(len(names))]
+
+    # 1: raw text, and prepared text where it differs
+    df = df.select(*system, *(F.col(f"`{n}`").cast("string").alias(f"__r{i}") for i, n in enumerate(names)))
+    df = df.select(*system, *raws, *(_prepared(m, raws[i]).alias(f"__x{i}") for i, m in enumerate(metas)
+                                     if m is not None and resolved_kind(m) in DATE_TYPES))
+    # 2: typed values
+    clean = _repaired if mode == "repair" else _cleaned
+    df = df.select(*system, *raws, *((texts[i] if m is None else clean(m, texts[i])).alias(f"__v{i}")
+                                     for i, m in enumerate(metas)))
+    # 3: is the row wrong?
+    checks: list[Check] = []
+    warnings: list[Check] = []
+    for i, m in enumerate(metas):
+        if m is None:
             continue
-        left = []
-        if mode == "repair":
-            left = _repaired(meta, r(n))[1]
-        found = column_checks(meta, t(n), boolean_names)
-        if left:  # unread text is its own error, not a missing value
-            missing = check_required(meta, t(n))
-            found = [F.when(trimmed(r(n)).isNull(), m) for m in missing] + found[len(missing):]
-        checks += left + found
-        if meta.nullable:
-            warnings.append(F.when(t(n).isNull() & (r(n) != ""),
-                                   F.concat(F.lit(f"{n}: could not read '"), r(n), F.lit("'"))))
+        found = column_checks(m, values[i], boolean_names)
+        if mode == "repair" and (unread := _unread(m, raws[i], values[i])):
+            found = unread + [Check(c.failed & ~F.coalesce(unread[0].failed, F.lit(False)), c.error) for c in found]
+        checks += found
+        if m.nullable:
+            warnings.append(Check(values[i].isNull() & (raws[i] != ""),
+                                  F.concat(F.lit(f"{names[i]}: could not read '"), raws[i], F.lit("'"))))
+    structural = F.col(CORRUPT).isNotNull() if has_corrupt else F.lit(False)
+    unusable_row = check_unusable(values)
+    # rand() is never negative. It keeps the optimizer from pushing a filter on validity below
+    # the cleaning, where every value would be cleaned again for each check that looks at it.
+    valid = ~(structural | unusable_row | any_failed(checks)) & (F.rand(0) >= 0)
+    df = df.select(*system, *raws, *values, structural.alias("_structural"), unusable_row.alias("__unusable"),
+                   valid.alias("_valid"), any_failed(warnings).alias("__warned"))
+    # 4: what is wrong with it
+    wrong = ~F.col("_valid")
     unusable = F.array(error(None, "unusable_row", "no usable value in the row")).cast(ERRORS)
     broken = F.array(error(None, "structural_parse_error", "column count mismatch")).cast(ERRORS)
-    errors = (
-        F.when(structural, broken)
-        .when(check_unusable([t(n) for n in names]), unusable)
-        .otherwise(error_list(checks))
-    )
-    warned = (F.filter(F.array(*warnings), lambda w: w.isNotNull()) if warnings
-              else F.array().cast("array<string>"))
-    raw = F.create_map(*(x for n in names for x in (F.lit(n), r(n))))
-    if CORRUPT in df.columns:
-        raw = F.when(structural, F.create_map(F.lit(CORRUPT), F.col(CORRUPT))).otherwise(raw)
-    final = [_stored(by_name[n.lower()], t(n)).alias(n) if n.lower() in by_name else t(n).alias(n) for n in names]
-    kept = [F.col(n) for n in (ROW_NUMBER, SOURCE_FILE) if n in df.columns]
-    return wide.select(*kept, *final, raw.alias("_raw"), errors.alias("_errors"),
-                       warned.alias("_warnings"), structural.alias("_structural"))
+    errors = (F.when(F.col("_valid"), F.array().cast(ERRORS)).when(F.col("_structural"), broken)
+              .when(F.col("__unusable"), unusable).otherwise(failures(checks)))
+    cells = F.create_map(*(x for n, r in zip(names, raws) for x in (F.lit(n), r)))
+    raw = F.when(F.col("_structural"), F.create_map(F.lit(CORRUPT), F.col(CORRUPT))) if has_corrupt else F.when(F.lit(False), cells)
+    said = F.array_compact(F.array(*(F.when(w.failed, w.error) for w in warnings))) if warnings else F.array()
+    return df.select(
+        *(F.col(n) for n in (ROW_NUMBER, SOURCE_FILE) if n in df.columns),
+        *((values[i] if m is None else _stored(m, values[i])).alias(names[i]) for i, m in enumerate(metas)),
+        raw.when(wrong, cells).alias("_raw"), errors.alias("_errors"),
+        F.when(F.col("__warned"), said.cast("array<string>")).otherwise(F.array().cast("array<string>")).alias("_warnings"),
+        "_structural", "_valid")
 
 
-INTERNAL = ("_raw", "_errors", "_warnings", "_structural")
+INTERNAL = ("_raw", "_errors", "_warnings", "_structural", "_valid")
 
 
 def clean_part(annotated: DataFrame, keep_warnings: bool = False) -> DataFrame:
     """Rows without errors, typed."""
     drop = [c for c in INTERNAL if not (keep_warnings and c == "_warnings")]
-    return annotated.filter(F.size("_errors") == 0).drop(*drop)
+    return annotated.filter("_valid").drop(*drop)
 
 
 def to_quarantine(annotated: DataFrame, dataset: str = "") -> DataFrame:
@@ -273,7 +292,7 @@ def to_quarantine(annotated: DataFrame, dataset: str = "") -> DataFrame:
     have = set(annotated.columns)
     number = F.col(ROW_NUMBER).cast("long") if ROW_NUMBER in have else F.lit(None).cast("long")
     source = F.col(SOURCE_FILE) if SOURCE_FILE in have else F.lit(None).cast("string")
-    return annotated.filter(F.size("_errors") > 0).select(
+    return annotated.filter(~F.col("_valid")).select(
         F.lit(dataset).alias("dataset"), number.alias("row_number"), source.alias("source_file"),
         F.col("_raw").alias("raw"), F.col("_errors").alias("errors"),
         by_cause("category").alias("category"), by_cause("severity").alias("severity"),
@@ -319,9 +338,10 @@ def clean_for_restore(df: DataFrame, schema: list[ColumnMeta] = ()) -> DataFrame
         if n in SYSTEM_COLUMNS:
             out.append(raw)
         elif low in by_name:
-            value, errors = _repaired(by_name[low], raw)
-            out.append(_stored(by_name[low], value).alias(n))
-            bad += [F.when(e.isNotNull(), F.lit(n)) for e in errors]
+            meta = by_name[low]
+            value = _repaired(meta, _prepared(meta, raw))
+            out.append(_stored(meta, value).alias(n))
+            bad += [F.when(c.failed, F.lit(n)) for c in _unread(meta, raw, value)]
         elif schema:
             out.append(trimmed(raw).alias(n))
         else:
@@ -345,10 +365,10 @@ def validate_by_name(df: DataFrame, out: str = "errors") -> DataFrame:
     for n in df.columns:
         c, low = trimmed(F.col(f"`{n}`")), n.lower()
         if has_name_token(n, NUMERIC_LOOKING_NAMES):
-            checks.append(F.when(c.isNotNull() & leading_number(c).isNull(),
-                                 error(n, "type_mismatch", f"{n}: expected a number", c)))
+            checks.append(Check(c.isNotNull() & leading_number(c).isNull(),
+                                error(n, "type_mismatch", f"{n}: expected a number", c)))
         if any(h in low for h in BOOLEAN_NAME_HINTS):
-            checks.append(F.when(_bad_word(c), error(n, "invalid_format", f"{n}: not a true/false word", c)))
+            checks.append(Check(_bad_word(c), error(n, "invalid_format", f"{n}: not a true/false word", c)))
     empty = F.array(error(None, "unusable_row", "no usable value in the row")).cast(ERRORS)
     unusable = check_unusable([F.col(f"`{n}`") for n in df.columns])
     return df.withColumn(out, F.when(unusable, empty).otherwise(error_list(checks)))
@@ -381,34 +401,34 @@ def payload_errors(df: DataFrame, schema: list[ColumnMeta]) -> Column:
         n, k = meta.name, meta.constraints
         if n not in fields:
             if not meta.nullable:
-                checks.append(error(n, "required", f"{n}: property is missing"))
+                checks.append(Check(F.lit(True), error(n, "required", f"{n}: property is missing")))
             continue
         c, dtype = F.col(f"`{n}`"), fields[n]
         if not meta.nullable:
-            checks.append(F.when(c.isNull(), error(n, "required", f"{n}: property is missing")))
+            checks.append(Check(c.isNull(), error(n, "required", f"{n}: property is missing")))
         if not _matches_type(meta, dtype):
-            checks.append(F.when(c.isNotNull(), error(n, "type", f"{n}: must be {meta.type}", c)))
+            checks.append(Check(c.isNotNull(), error(n, "type", f"{n}: must be {meta.type}", c)))
             continue
         if meta.kind == "integer" and isinstance(dtype, T.FractionalType):
-            checks.append(F.when(c != F.floor(c), error(n, "type", f"{n}: must be integer", c)))
+            checks.append(Check(c != F.floor(c), error(n, "type", f"{n}: must be integer", c)))
         if isinstance(dtype, T.NumericType):
             if k.get("min") is not None:
-                checks.append(F.when(c < k["min"], error(n, "minimum", f"{n}: must be >= {k['min']}", c)))
+                checks.append(Check(c < k["min"], error(n, "minimum", f"{n}: must be >= {k['min']}", c)))
             if k.get("max") is not None:
-                checks.append(F.when(c > k["max"], error(n, "maximum", f"{n}: must be <= {k['max']}", c)))
+                checks.append(Check(c > k["max"], error(n, "maximum", f"{n}: must be <= {k['max']}", c)))
         if isinstance(dtype, T.StringType):
             if k.get("pattern"):
-                checks.append(F.when(~c.rlike(k["pattern"]), error(n, "pattern", f"{n}: must match the pattern", c)))
+                checks.append(Check(~c.rlike(k["pattern"]), error(n, "pattern", f"{n}: must match the pattern", c)))
             if k.get("minLength") is not None:
-                checks.append(F.when(F.length(c) < k["minLength"], error(n, "minLength", f"{n}: is too short", c)))
+                checks.append(Check(F.length(c) < k["minLength"], error(n, "minLength", f"{n}: is too short", c)))
             if k.get("maxLength") is not None:
-                checks.append(F.when(F.length(c) > k["maxLength"], error(n, "maxLength", f"{n}: is too long", c)))
+                checks.append(Check(F.length(c) > k["maxLength"], error(n, "maxLength", f"{n}: is too long", c)))
         if k.get("enum"):
-            checks.append(F.when(~c.isin(*k["enum"]), error(n, "enum", f"{n}: must be an allowed value", c)))
+            checks.append(Check(~c.isin(*k["enum"]), error(n, "enum", f"{n}: must be an allowed value", c)))
     known = {m.name for m in schema}
     for n in fields:
         if n not in known:
-            checks.append(F.when(F.col(f"`{n}`").isNotNull(),
+            checks.append(Check(F.col(f"`{n}`").isNotNull(),
                                  error(n, "additionalProperties", f"{n}: property is not known")))
     return error_list(checks)
 

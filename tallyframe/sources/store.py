@@ -75,7 +75,7 @@ class Store:
 
     def load_dataset(self, dataset: str) -> DataFrame:
         """Clean rows of a dataset; only their partition is read."""
-        return clean_part(self.records(dataset).filter(F.col("_valid")).drop("_valid"))
+        return clean_part(self.records(dataset))
 
     def resolutions(self, dataset: str) -> DataFrame:
         path = self._path(dataset, "resolutions")
@@ -85,7 +85,7 @@ class Store:
 
     def load_quarantine(self, dataset: str) -> DataFrame:
         """Quarantine records with their present status and history."""
-        q = to_quarantine(self.records(dataset).filter(~F.col("_valid")).drop("_valid"), dataset)
+        q = to_quarantine(self.records(dataset), dataset)
         done = self.resolutions(dataset).groupBy("row_number").agg(
             F.max_by("status", "at").alias("__status"),
             F.sort_array(F.collect_list(F.struct("at", "action", "user"))).alias("__history"))
@@ -138,12 +138,9 @@ class Store:
         if not schema:
             raise ValueError("a schema is needed")
         annotated = annotate(raw, schema)
-        valid = F.size("_errors") == 0
         seen = Observation(f"ingest {dataset}")
-        rows = annotated.withColumn("_valid", valid).observe(
+        rows = annotated.observe(
             seen, F.count(F.lit(1)).alias("seen"), F.count_if(F.col("_valid")).alias("valid"))
-        # the raw cells of a clean row are not stored again
-        rows = rows.withColumn("_raw", F.when(~F.col("_valid"), F.col("_raw")))
         if mode != "append":
             _delete(self.spark, self._path(dataset, "resolutions"))
         (rows.write.mode("append" if mode == "append" else "overwrite")

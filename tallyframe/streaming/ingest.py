@@ -56,12 +56,11 @@ def stream_ingest(spark: SparkSession, in_dir: str, out_dir: str, schema: list[C
         reader = reader.option("maxFilesPerTrigger", max_files)
     raw = reader.csv(in_dir).withColumn(SOURCE_FILE, F.col("_metadata.file_name"))
     raw = raw.filter(F.coalesce(*(F.col(f"`{n}`") for n in (*names, "_corrupt_record"))).isNotNull())
-    rows = annotate(raw, schema).withColumn("_valid", F.size("_errors") == 0)
+    rows = annotate(raw, schema)
     rows = rows.observe(PROGRESS, F.count(F.lit(1)).alias("seen"), F.count_if(F.col("_valid")).alias("valid"))
 
     def store(batch: DataFrame, batch_id: int) -> None:
         (batch.withColumn(ROW_NUMBER, F.monotonically_increasing_id() + 1)
-         .withColumn("_raw", F.when(~F.col("_valid"), F.col("_raw")))
          .write.mode("overwrite").partitionBy("_valid").parquet(f"{out_dir}/records/batch={batch_id}"))
 
     return (rows.writeStream.foreachBatch(store).option("checkpointLocation", f"{out_dir}/_checkpoint")
@@ -70,6 +69,5 @@ def stream_ingest(spark: SparkSession, in_dir: str, out_dir: str, schema: list[C
 
 def read_ingested(spark: SparkSession, out_dir: str, dataset: str = "") -> tuple[DataFrame, DataFrame]:
     """(clean rows, quarantine records) a stream has stored so far."""
-    rows = spark.read.option("basePath", f"{out_dir}/records").parquet(f"{out_dir}/records")
-    return (clean_part(rows.filter(F.col("_valid")).drop("_valid")),
-            to_quarantine(rows.filter(~F.col("_valid")).drop("_valid"), dataset))
+    rows = spark.read.parquet(f"{out_dir}/records").withColumn("_valid", F.col("_valid").cast("boolean"))
+    return clean_part(rows), to_quarantine(rows, dataset)

@@ -149,7 +149,7 @@ def validate_errors(spark, sf):
            count(*) FILTER (l_returnflag = 'N') AS warned
     FROM lineitem""")
 def validate_split_counts(spark, sf):
-    ok = F.size("_errors") == 0
+    ok = F.col("_valid")
     return annotate(raw_lines(spark, sf), LINE_SCHEMA).agg(
         F.count(F.lit(1)).alias("total"), F.count_if(ok).alias("clean"), F.count_if(~ok).alias("quarantined"),
         F.count_if(F.size("_warnings") > 0).alias("warned"))
