@@ -110,9 +110,10 @@ def _exact_boxes(df: DataFrame, named: dict[str, Column]) -> DataFrame:
             continue
         for j, p in enumerate(QUARTILES):
             rank = (n - 1) * p
-            lo, hi = (head[f"lo{i}"], head[f"hi{i}"]) if n <= _SMALL else head[f"s{i}"][2 * j: 2 * j + 2]
+            whole = n <= _SMALL
+            lo, hi = (head[f"lo{i}"], head[f"hi{i}"]) if whole else head[f"s{i}"][2 * j: 2 * j + 2]
             wanted.append({"i": i, "label": label, "j": j, "n": n, "rank": int(rank), "part": rank - int(rank),
-                           "lo": lo, "hi": hi, "min": head[f"lo{i}"], "max": head[f"hi{i}"], "small": n <= _SMALL})
+                           "lo": lo, "hi": hi, "min": head[f"lo{i}"], "max": head[f"hi{i}"], "small": whole})
     if not wanted:
         return spark.createDataFrame([], "measure string, n long, min double, q1 double, median double, q3 double, max double")
     wanted = _narrow(values, wanted)
@@ -129,7 +130,8 @@ def _small_boxes(values: DataFrame, labels: list[str]) -> DataFrame:
     return out.select("measure", "n", *(F.col("q")[i].alias(c) for i, c in enumerate(BOX)))
 
 
-def _bracket_points(error: float = 2.0 / _ACCURACY) -> list[float]:
+def _bracket_points() -> list[float]:
+    error = 2.0 / _ACCURACY
     return [min(max(p + d, 0.0), 1.0) for p in QUARTILES for d in (-error, error)]
 
 
@@ -138,26 +140,35 @@ def _inside(w: dict) -> Column:
 
 
 def _narrow(values: DataFrame, wanted: list[dict], rounds: int = 12) -> list[dict]:
-    """Shrink brackets until one task can rank the distinct values of each."""
+    """Shrink brackets until one task can rank the distinct values of each.
+
+    A bracket counts only once its rows were counted: it must hold the wanted rank
+    and, where the quartile lies between two values, the next one. One that does
+    not falls back to the last that did.
+    """
+    for w in wanted:
+        w["sure"] = (w["min"], w["max"])
     for _ in range(rounds):
-        wide = [w for w in wanted if not w["small"] and w["lo"] < w["hi"]]
-        if not wide:
-            return wanted
+        left = [w for w in wanted if not w["small"]]
+        if not left:
+            break
         aggs = []
-        for k, w in enumerate(wide):
+        for k, w in enumerate(left):
             v, inside = F.col(f"v{w['i']}"), _inside(w)
             aggs += [F.count_if(v < w["lo"]).alias(f"b{k}"), F.count_if(inside).alias(f"c{k}"),
                      F.approx_count_distinct(F.when(inside, v), 0.02).alias(f"d{k}")]
         row = values.agg(*aggs).first()
         refine = []
-        for k, w in enumerate(wide):
+        for k, w in enumerate(left):
             below, held = row[f"b{k}"], row[f"c{k}"]
-            if w["rank"] < below or w["rank"] + 1 >= below + held:  # widen a bracket that missed
-                w["lo"], w["hi"] = (w["min"], w["hi"]) if w["rank"] < below else (w["lo"], w["max"])
-            elif min(held, row[f"d{k}"]) <= _SMALL:
-                w["small"] = True
+            last = w["rank"] + (1 if w["part"] > 0 else 0)
+            if below <= w["rank"] and last < below + held:
+                w["sure"] = (w["lo"], w["hi"])
+                w["small"] = w["lo"] == w["hi"] or min(held, row[f"d{k}"]) <= _SMALL
+                if not w["small"]:
+                    refine.append((w, (w["rank"] - below) / held))
             else:
-                refine.append((w, (w["rank"] - below) / held))
+                w["small"] = True
         if refine:
             error = 2.0 / _ACCURACY
             sketches = [F.percentile_approx(F.when(_inside(w), F.col(f"v{w['i']}")),
@@ -166,6 +177,9 @@ def _narrow(values: DataFrame, wanted: list[dict], rounds: int = 12) -> list[dic
             row = values.agg(*sketches).first()
             for k, (w, _p) in enumerate(refine):
                 w["lo"], w["hi"] = row[f"s{k}"]
+                w["small"] = (w["lo"], w["hi"]) == w["sure"]  # as narrow as it gets
+    for w in wanted:
+        w["lo"], w["hi"] = w["sure"]
     return wanted
 
 
