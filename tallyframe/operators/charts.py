@@ -88,21 +88,23 @@ def _approximate_boxes(df: DataFrame, named: dict[str, Column]) -> DataFrame:
 def _exact_boxes(df: DataFrame, named: dict[str, Column]) -> DataFrame:
     """Exact quartiles without bringing a measure's values into one task.
 
-    Pass 1 counts the values and brackets every wanted rank with a mergeable
-    sketch. Pass 2 counts the values below each bracket and ranks the distinct
-    values inside it. A bracket with too many distinct values is narrowed by
-    another sketch first. Only counts and brackets reach the driver.
+    The values are counted first, and few of them are ranked as they are. Of many,
+    a mergeable sketch brackets every wanted rank, and only the distinct values
+    inside a bracket are ranked, after counting those below it. A bracket with too
+    many distinct values is narrowed by another sketch. Only counts and brackets
+    reach the driver.
     """
     spark = df.sparkSession
     values = df.select(*(number(c).alias(f"v{i}") for i, c in enumerate(named.values())))
     aggs = []
     for i in range(len(named)):
         v = F.col(f"v{i}")
-        aggs += [F.count(v).alias(f"n{i}"), F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}"),
-                 F.percentile_approx(v, _bracket_points(), _ACCURACY).alias(f"s{i}")]
-    head = values.agg(*aggs).first()
-    if all(head[f"n{i}"] <= _SMALL for i in range(len(named))):
-        return _small_boxes(values, list(named))
+        aggs += [F.count(v).alias(f"n{i}"), F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}")]
+    head = values.agg(*aggs).first().asDict()
+    large = [i for i in range(len(named)) if head[f"n{i}"] > _SMALL]
+    if large:
+        head |= values.agg(*(F.percentile_approx(f"v{i}", _bracket_points(), _ACCURACY).alias(f"s{i}")
+                             for i in large)).first().asDict()
     wanted = []
     for i, label in enumerate(named):
         n = head[f"n{i}"]
@@ -117,17 +119,7 @@ def _exact_boxes(df: DataFrame, named: dict[str, Column]) -> DataFrame:
     if not wanted:
         return spark.createDataFrame([], "measure string, n long, min double, q1 double, median double, q3 double, max double")
     wanted = _narrow(values, wanted)
-    return _rank_brackets(spark, values, wanted)
-
-
-def _small_boxes(values: DataFrame, labels: list[str]) -> DataFrame:
-    """Few enough values for the built-in exact percentile."""
-    cells = F.array(*(F.struct(F.lit(label).alias("measure"), F.col(f"v{i}").alias("v"))
-                      for i, label in enumerate(labels)))
-    q = F.percentile("v", [0.0, *QUARTILES, 1.0]).alias("q")
-    out = (values.select(F.inline(cells)).filter(F.col("v").isNotNull())
-           .groupBy("measure").agg(F.count("v").alias("n"), q))
-    return out.select("measure", "n", *(F.col("q")[i].alias(c) for i, c in enumerate(BOX)))
+    return _rank_brackets(values, wanted)
 
 
 def _bracket_points() -> list[float]:
@@ -183,29 +175,34 @@ def _narrow(values: DataFrame, wanted: list[dict], rounds: int = 12) -> list[dic
     return wanted
 
 
-def _rank_brackets(spark, values: DataFrame, wanted: list[dict]) -> DataFrame:
+def _rank_brackets(values: DataFrame, wanted: list[dict]) -> DataFrame:
+    """Quartiles from the ranked distinct values of each bracket."""
+    brackets = list(dict.fromkeys((w["i"], w["lo"], w["hi"]) for w in wanted))
     cells = F.array(*(F.struct(
-        F.lit(k).alias("k"),
-        F.when(_inside(w), F.col(f"v{w['i']}")).alias("v"),
-        (F.col(f"v{w['i']}") < w["lo"]).alias("below")) for k, w in enumerate(wanted)))
+        F.lit(k).alias("k"), F.when(F.col(f"v{i}").between(lo, hi), F.col(f"v{i}")).alias("v"),
+        (F.col(f"v{i}") < lo).alias("below")) for k, (i, lo, hi) in enumerate(brackets)))
     cut = values.select(F.inline(cells)).filter(F.col("v").isNotNull() | F.col("below"))
     # equal values merge in the map tasks; all values below a bracket become one row
     counts = cut.groupBy("k", "v").agg(F.count(F.lit(1)).alias("c"))
     upto = F.sum("c").over(Window.partitionBy("k").orderBy(F.col("v").asc_nulls_first())
                            .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ranked = counts.withColumn("upto", upto).filter(F.col("v").isNotNull())
-    goal = spark.createDataFrame(
-        [(k, w["label"], w["j"], w["n"], w["rank"], w["part"], w["min"], w["max"]) for k, w in enumerate(wanted)],
-        "k int, measure string, j int, n long, rank long, part double, lo double, hi double")
-    at = ranked.join(F.broadcast(goal), "k")  # three rows per measure
-    low = F.min(F.when(F.col("upto") > F.col("rank"), F.col("v")))
-    high = F.min(F.when(F.col("upto") > F.col("rank") + 1, F.col("v")))
-    q = at.groupBy("measure", "j", "n", "lo", "hi", "part").agg(low.alias("low"), high.alias("high"))
-    q = q.withColumn("q", F.col("low") + F.when(F.col("part") > 0, F.col("part") * (F.col("high") - F.col("low")))
-                     .otherwise(F.lit(0.0)))
-    pick = [F.max(F.when(F.col("j") == j, F.col("q"))).alias(name) for j, name in enumerate(("q1", "median", "q3"))]
-    return q.groupBy("measure", "n", "lo", "hi").agg(*pick).select(
-        "measure", "n", F.col("lo").alias("min"), "q1", "median", "q3", F.col("hi").alias("max"))
+    # of each bracket, the first value that reaches a rank and the first that passes it
+    out = counts.withColumn("upto", upto).filter(F.col("v").isNotNull())
+    picks = []
+    for n, w in enumerate(wanted):
+        mine = F.col("k") == brackets.index((w["i"], w["lo"], w["hi"]))
+        picks += [F.min(F.when(mine & (F.col("upto") > w["rank"]), F.col("v"))).alias(f"low{n}"),
+                  F.min(F.when(mine & (F.col("upto") > w["rank"] + 1), F.col("v"))).alias(f"high{n}")]
+    found = out.agg(*picks)
+    rows = []
+    for label in dict.fromkeys(w["label"] for w in wanted):
+        mine = [(n, w) for n, w in enumerate(wanted) if w["label"] == label]
+        first = mine[0][1]
+        quartiles = [(F.col(f"low{n}") + w["part"] * (F.col(f"high{n}") - F.col(f"low{n}")) if w["part"] > 0
+                      else F.col(f"low{n}")).alias(name) for (n, w), name in zip(mine, BOX[1:4], strict=True)]
+        rows.append(F.struct(F.lit(label).alias("measure"), F.lit(first["n"]).cast("long").alias("n"),
+                             F.lit(first["min"]).alias("min"), *quartiles, F.lit(first["max"]).alias("max")))
+    return found.select(F.inline(F.array(*rows)))
 
 
 def scatter(df: DataFrame, x: str, y: str, limit: int | None = None) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from ..functions.cleaning import trimmed
 from ..functions.names import (
@@ -41,6 +41,12 @@ def types_compatible(a: str | None, b: str | None) -> bool:
     return (a in NUMERIC_KINDS and b in TEXT_KINDS) or (a in TEXT_KINDS and b in NUMERIC_KINDS)
 
 
+def _text(df: DataFrame, name: str) -> Column:
+    """Value as text; only text can carry outer white space."""
+    c = F.col(f"`{name}`")
+    return trimmed(c) if isinstance(df.schema[name].dataType, T.StringType) else c.cast("string")
+
+
 def column_masks(frames: dict[str, DataFrame], columns: list[tuple[str, str]]) -> DataFrame:
     """How many distinct values occur in exactly which of the columns.
 
@@ -50,10 +56,14 @@ def column_masks(frames: dict[str, DataFrame], columns: list[tuple[str, str]]) -
     """
     words = -(-len(columns) // _BITS)
     parts = []
-    for i, (dataset, name) in enumerate(columns):
-        mask = [F.lit(1 << (i % _BITS) if w == i // _BITS else 0).cast("long").alias(f"m{w}") for w in range(words)]
-        parts.append(frames[dataset].select(trimmed(F.col(f"`{name}`")).alias("value"), *mask)
-                     .filter(F.col("value").isNotNull()))
+    for dataset in dict.fromkeys(d for d, _ in columns):  # one scan per dataset
+        df = frames[dataset]
+        cells = []
+        for i, (d, name) in enumerate(columns):
+            if d == dataset:
+                mask = [F.lit(1 << (i % _BITS) if w == i // _BITS else 0).cast("long").alias(f"m{w}") for w in range(words)]
+                cells.append(F.struct(_text(df, name).alias("value"), *mask))
+        parts.append(df.select(F.inline(F.array(*cells))).filter(F.col("value").isNotNull()))
     union = reduce(DataFrame.unionAll, parts)
     names = [f"m{w}" for w in range(words)]
     per_value = union.groupBy("value").agg(*(F.bit_or(m).alias(m) for m in names))

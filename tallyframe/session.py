@@ -15,6 +15,8 @@ DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Expressions over many columns are built call by call; do not record a stack trace for each.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     # The JVM never compiles methods above 8000 bytes of bytecode. Cleaning many columns makes
     # such methods when fused into one stage; below the limit Spark splits them instead.
     "spark.sql.codegen.hugeMethodLimit": "8000",

@@ -15,6 +15,7 @@ row. A job that is run again after a failure therefore adds nothing twice.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
@@ -69,8 +70,9 @@ class Store:
         return ", ".join([f"{ROW_NUMBER} long", f"{SOURCE_FILE} string", *cols, "_raw map<string,string>",
                           f"_errors {ERRORS}", "_warnings array<string>", "_structural boolean", "_valid boolean"])
 
-    def records(self, dataset: str) -> DataFrame:
-        return self.spark.read.schema(self._records_schema(self.columns(dataset))).parquet(
+    def records(self, dataset: str, schema: list[ColumnMeta] | None = None) -> DataFrame:
+        """All rows as stored, clean and quarantined."""
+        return self.spark.read.schema(self._records_schema(schema or self.columns(dataset))).parquet(
             self._path(dataset, "records"))
 
     def load_dataset(self, dataset: str) -> DataFrame:
@@ -112,11 +114,9 @@ class Store:
          .withColumn("_structural", F.lit(False)).withColumn("_valid", F.lit(True))
          .write.mode("append").partitionBy("_valid").parquet(self._path(dataset, "records")))
 
-    def next_row_base(self, dataset: str) -> int:
+    def next_row_base(self, dataset: str, schema: list[ColumnMeta]) -> int:
         """Highest row number in use, over clean and quarantined rows."""
-        if not self.columns(dataset):
-            return 0
-        return self.records(dataset).agg(F.max(ROW_NUMBER)).first()[0] or 0
+        return self.records(dataset, schema).agg(F.max(ROW_NUMBER)).first()[0] or 0
 
     def write_dataset(self, dataset: str, raw: DataFrame, schema: list[ColumnMeta] | None = None,
                       mode: str = "new", name: str | None = None) -> IngestReport:
@@ -134,7 +134,7 @@ class Store:
             raise ValueError(f"dataset {dataset!r} does not exist")
         if mode == "append":
             schema = columns_from_json(entry["columns"])
-            raw = raw.withColumn(ROW_NUMBER, F.col(ROW_NUMBER) + F.lit(self.next_row_base(dataset)))
+            raw = raw.withColumn(ROW_NUMBER, F.col(ROW_NUMBER) + F.lit(self.next_row_base(dataset, schema)))
         if not schema:
             raise ValueError("a schema is needed")
         annotated = annotate(raw, schema)
@@ -150,7 +150,8 @@ class Store:
         old = (entry["row_count"], entry["quarantined_count"]) if mode == "append" else (0, 0)
         self.update_catalog(dataset, name=name or (entry or {}).get("name") or dataset, mode=mode, columns=schema,
                             row_count=old[0] + report.rows_valid,
-                            quarantined_count=old[1] + report.rows_quarantined)
+                            quarantined_count=old[1] + report.rows_quarantined,
+                            created_at=(entry or {}).get("created_at"))
         return report
 
     # --- catalog -------------------------------------------------------------
@@ -176,14 +177,15 @@ class Store:
         return columns_from_json(entry["columns"]) if entry else []
 
     def update_catalog(self, dataset: str, *, name: str, mode: str, columns: list[ColumnMeta],
-                       row_count: int, quarantined_count: int, deleted: bool = False) -> None:
-        old = self.entry(dataset)
+                       row_count: int, quarantined_count: int, deleted: bool = False,
+                     created_at: datetime | None = None) -> None:
+        """Append the dataset's new entry; ``created_at`` is that of its first one."""
         now = F.current_timestamp()
         values: dict[str, Column] = {
             "dataset": F.lit(dataset), "name": F.lit(name), "mode": F.lit(mode),
             "columns": F.lit(columns_to_json(columns)), "row_count": F.lit(int(row_count)).cast("long"),
             "quarantined_count": F.lit(max(0, int(quarantined_count))).cast("long"), "deleted": F.lit(deleted),
-            "changed_at": now, "created_at": F.lit(old["created_at"]) if old else now,
+            "changed_at": now, "created_at": F.lit(created_at) if created_at else now,
         }
         (self.spark.range(1).select(*(c.alias(n) for n, c in values.items())).coalesce(1)
          .write.mode("append").parquet(f"{self.root}/catalog"))
@@ -194,14 +196,16 @@ class Store:
         rows = self.load_dataset(dataset).count()
         left = self.load_quarantine(dataset).filter(F.col("status") == QUARANTINED).count()
         self.update_catalog(dataset, name=entry["name"], mode=entry["mode"],
-                            columns=columns_from_json(entry["columns"]), row_count=rows, quarantined_count=left)
+                            columns=columns_from_json(entry["columns"]), row_count=rows, quarantined_count=left,
+                            created_at=entry["created_at"])
         return {"row_count": rows, "quarantined_count": left}
 
     def set_columns(self, dataset: str, columns: list[ColumnMeta]) -> None:
         """Change the stored metadata only; rows are not cleaned again."""
         e = self.entry(dataset)
         self.update_catalog(dataset, name=e["name"], mode=e["mode"], columns=columns,
-                            row_count=e["row_count"], quarantined_count=e["quarantined_count"])
+                            row_count=e["row_count"], quarantined_count=e["quarantined_count"],
+                            created_at=e["created_at"])
 
     def drop_datasets(self, datasets: list[str]) -> dict:
         """Remove datasets with their rows; reports how many were there."""
@@ -210,7 +214,7 @@ class Store:
             e = self.entry(d)
             _delete(self.spark, f"{self.root}/data/{d}")
             self.update_catalog(d, name=e["name"], mode=e["mode"], columns=[], row_count=0,
-                                quarantined_count=0, deleted=True)
+                                quarantined_count=0, deleted=True, created_at=e["created_at"])
         return {"requested_count": len(datasets), "deleted_count": len(present)}
 
     # --- relationships -------------------------------------------------------

@@ -5,6 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 
-def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """One table of a folder of Parquet files."""
-    return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
+def load(spark: SparkSession, folder: str, name: str, spread: bool = False) -> DataFrame:
+    """One table of a folder of Parquet files; ``spread`` as in ``spread_rows``."""
+    df = spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
+    return spread_rows(df) if spread else df
+
+
+def spread_rows(scan: DataFrame) -> DataFrame:
+    """For work that is heavy per row: a scan with fewer splits than cores is dealt out
+    to all cores. A large table has more splits than cores and is left as it is."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan

@@ -22,7 +22,7 @@ _CLEAN_TEXT = f"nullif(trim(replace(text, '\"', ''), {_BLANKS}), '')"
     FROM (SELECT doc_id, {_CLEAN_TEXT} AS t FROM documents)""")
 def clean_string_documents(spark, sf):
     cleaned = clean_string(F.col("text"))
-    return load(spark, sf, "documents").select("doc_id", F.md5(cleaned).alias("cleaned"),
+    return load(spark, sf, "documents", spread=True).select("doc_id", F.md5(cleaned).alias("cleaned"),
                                                F.length(cleaned).cast("long").alias("n"))
 
 
@@ -70,7 +70,7 @@ def parse_date_formats(spark, sf):
         .when(kind == "3-MEDIUM", F.date_format(day, "MM-dd-yyyy"))
         .when(kind == "4-NOT SPECIFIED", F.date_diff(day.cast("date"), F.lit("1899-12-30").cast("date")).cast("string"))
         .otherwise(F.date_format(day, "d MMM yyyy")))
-    df = load(spark, sf, "orders").select("o_orderkey", "o_orderpriority", written.alias("written"))
+    df = load(spark, sf, "orders", spread=True).select("o_orderkey", "o_orderpriority", written.alias("written"))
     out = normalize_dates(df, [ColumnMeta("Written", "date"), ColumnMeta("o_orderkey", "number")])
     return out.withColumn("written", F.col("written").cast("timestamp_ntz"))
 
@@ -80,7 +80,7 @@ def parse_date_formats(spark, sf):
                              THEN regexp_replace(html, '<[^>]*>', '', 'g') ELSE html END) AS html
     FROM pages""")
 def strip_html_pages(spark, sf):
-    df = strip_html(load(spark, sf, "pages").select("page_id", "html"), ["html"])
+    df = strip_html(load(spark, sf, "pages", spread=True).select("page_id", "html"), ["html"])
     return df.withColumn("html", F.md5("html"))
 
 
@@ -94,7 +94,7 @@ def strip_html_pages(spark, sf):
              OR regexp_matches(text, '(?i)(\band\b\s+\d+\s*=\s*\d+)')) AS suspicious
     FROM documents""")
 def injection_flags(spark, sf):
-    return flag_injection(load(spark, sf, "documents"), ["text"]).select("doc_id", "suspicious")
+    return flag_injection(load(spark, sf, "documents", spread=True), ["text"]).select("doc_id", "suspicious")
 
 
 @query("classify_requests", """
@@ -120,7 +120,7 @@ LINE_SCHEMA = [
 def raw_lines(spark, sf):
     """Line items as the text cells of a file, some of them wrong."""
     price = F.col("l_extendedprice").cast("string")
-    return load(spark, sf, "lineitem").select(
+    return load(spark, sf, "lineitem", spread=True).select(
         F.col("l_orderkey").cast("string").alias("order_no"),
         F.when(F.col("l_quantity") == 50, "12.5").otherwise(F.col("l_quantity").cast("int").cast("string")).alias("quantity"),
         F.concat(F.when(F.col("l_extendedprice") < 5000, "-").otherwise("$"), price).alias("amount"),
@@ -223,7 +223,7 @@ _PAYLOAD = [
         UNION ALL SELECT 'type' FROM lineitem WHERE l_tax <> floor(l_tax)
         UNION ALL SELECT 'additionalProperties' FROM lineitem WHERE l_linenumber IS NOT NULL) GROUP BY 1""")
 def validate_payload_lines(spark, sf):
-    df = load(spark, sf, "lineitem").select("l_quantity", "l_returnflag", "l_linestatus", "l_tax", "l_linenumber")
+    df = load(spark, sf, "lineitem", spread=True).select("l_quantity", "l_returnflag", "l_linestatus", "l_tax", "l_linenumber")
     errors = validate_payload(df, _PAYLOAD).select(F.inline("errors"))
     return errors.groupBy("error_type").agg(F.count(F.lit(1)).alias("n"))
 
@@ -235,7 +235,7 @@ def validate_payload_lines(spark, sf):
            bool_and(l_quantity BETWEEN 2 AND 45 AND l_returnflag <> 'R' AND l_tax = floor(l_tax)) AS is_valid
     FROM lineitem""")
 def payload_summary_lines(spark, sf):
-    df = load(spark, sf, "lineitem").select("l_quantity", "l_returnflag", "l_linestatus", "l_tax")
+    df = load(spark, sf, "lineitem", spread=True).select("l_quantity", "l_returnflag", "l_linestatus", "l_tax")
     return payload_summary(validate_payload(df, _PAYLOAD))
 
 

@@ -30,7 +30,7 @@ def _profile_sql(table, columns):
 
 def _profile(table, columns):
     def run(spark, sf):
-        return rounded(profile(load(spark, sf, table).select(*columns), exact=True), 6)
+        return rounded(profile(load(spark, sf, table, spread=True).select(*columns), exact=True), 6)
     return run
 
 

@@ -21,7 +21,7 @@ EVENT_SCHEMA = [
 
 def raw_events(spark, sf):
     """Wrong cells: a count of error events, large purchases, the status of purchases, early users' times."""
-    return load(spark, sf, "events").select(
+    return load(spark, sf, "events", spread=True).select(
         F.col("event_id").alias("_row_number"), F.lit("events.csv").alias("_source_file"),
         F.when(F.col("event_type") == "error", "n/a").otherwise(F.col("user_id").cast("string")).alias("item_count"),
         F.concat(F.when((F.col("event_type") == "purchase") & (F.col("value") > 50), "-").otherwise(""),
