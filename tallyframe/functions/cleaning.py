@@ -27,6 +27,7 @@ WHITE_SPACE = (
 
 NUMBER_TEXT = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 _LEADING_NUMBER = r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?"
+SHORT_TEXT = 63  # bytes; below the length of a digest, so the two never meet
 _MAX_SERIAL = 100_000_000  # days; the range a date-time can hold
 
 # Text forms beyond the three plain day formats that are read as a date.
@@ -140,6 +141,11 @@ def leading_number(c: Column) -> Column:
     return F.nullif(F.regexp_extract(trimmed(c), _LEADING_NUMBER, 0), F.lit("")).try_cast("double")
 
 
+def comparison_key(text: Column) -> Column:
+    """Text for grouping by value: long texts as their SHA-256, so a shuffle never carries them."""
+    return F.when(F.octet_length(text) > SHORT_TEXT, F.sha2(text, 256)).otherwise(text)
+
+
 CLEANERS: dict[str, Callable[[Column], Column]] = (
     {t: clean_string for t in TEXT_TYPES}
     | {t: clean_number for t in NUMBER_TYPES}

@@ -26,7 +26,7 @@ def dedupe_keep_first(df: DataFrame, keys: list[str], order: str | Column) -> Da
 
 def insert_idempotent(new: DataFrame, existing: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of ``new`` whose key is not stored yet, one per key."""
-    return new.dropDuplicates(keys).join(existing.select(*keys), keys, "left_anti")
+    return new.dropDuplicates(keys).join(existing.select(*keys).distinct(), keys, "left_anti")
 
 
 def backfill_defaults(df: DataFrame, defaults: dict[str, object], when_missing: list[str] | None = None) -> DataFrame:

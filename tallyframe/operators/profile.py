@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.cleaning import NUMBER_TEXT, native_date, trimmed
+from ..functions.cleaning import NUMBER_TEXT, SHORT_TEXT, comparison_key, native_date, trimmed
 from ..functions.names import has_name_token, plain_name, snake_case, tokenize_name
 from .columns import ColumnMeta, resolve_cleaner, spark_type
 from .validate import SYSTEM_COLUMNS
@@ -85,18 +85,20 @@ def profile(df: DataFrame, exact: bool = False, columns: list[str] | None = None
     """One row per column: rows, nulls, distinct values and values per type.
 
     exact: cells are counted per (column, value) first, so types are tested once
-    per distinct value and a hot value is merged before the shuffle; the second
-    aggregate works on partial sums. Otherwise a single pass with a sketch of
+    per distinct value and a hot value is merged before the shuffle; long texts
+    travel as digests. The second aggregate works on partial sums. Otherwise a single pass with a sketch of
     bounded size (relative error 1 %).
     """
     cells = long_form(df, columns)
+    long_kind = F.when(F.octet_length("value") > SHORT_TEXT, value_type(F.col("value")))
+    cells = cells.select("column", comparison_key(F.col("value")).alias("value"), long_kind.alias("long_kind"))
     if exact:
-        cells = cells.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+        cells = cells.groupBy("column", "value", "long_kind").agg(F.count(F.lit(1)).alias("n"))
         distinct = F.count_if(F.col("present"))
     else:
         cells = cells.withColumn("n", F.lit(1))
         distinct = F.approx_count_distinct(F.when(F.col("present"), F.col("value")), 0.01)
-    typed = cells.withColumn("kind", value_type(F.col("value"))).withColumn(
+    typed = cells.withColumn("kind", F.coalesce("long_kind", value_type(F.col("value")))).withColumn(
         "present", F.col("value").isNotNull() & (F.col("value") != ""))
 
     def rows(cond: Column) -> Column:

@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
-from ..functions.cleaning import trimmed
+from ..functions.cleaning import comparison_key, trimmed
 from ..functions.names import (
     is_foreign_key, is_generic_id, is_key_like, is_primary_key, points_to, snake_case,
 )
@@ -44,7 +44,8 @@ def types_compatible(a: str | None, b: str | None) -> bool:
 def _text(df: DataFrame, name: str) -> Column:
     """Value as text; only text can carry outer white space."""
     c = F.col(f"`{name}`")
-    return trimmed(c) if isinstance(df.schema[name].dataType, T.StringType) else c.cast("string")
+    text = isinstance(df.schema[name].dataType, T.StringType)
+    return comparison_key(trimmed(c)) if text else c.cast("string")
 
 
 def column_masks(frames: dict[str, DataFrame], columns: list[tuple[str, str]]) -> DataFrame:

@@ -13,7 +13,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.cleaning import (
-    BOOLEAN_TYPES, DATE_TYPES, FALSE_WORDS, NUMBER_TYPES, TRUE_WORDS, clean_boolean, leading_number,
+    BOOLEAN_TYPES, DATE_TYPES, FALSE_WORDS, NUMBER_TYPES, TEXT_TYPES, TRUE_WORDS, clean_boolean, leading_number,
     parse_date, parse_plain_date, stripped, trimmed, unquoted,
 )
 from ..functions.names import has_name_token
@@ -359,6 +359,41 @@ def clean_for_restore(df: DataFrame, schema: list[ColumnMeta] = ()) -> DataFrame
     return df.select(*out)
 
 
+def typed_checks(meta: ColumnMeta, c: Column, dtype: T.DataType, boolean_names: bool = False) -> list[Check]:
+    """Checks of a value as it stands, by the type it has."""
+    text, numeric, kind = isinstance(dtype, T.StringType), isinstance(dtype, T.NumericType), meta.kind
+    filled = (c != "") if text else c.isNotNull()
+    out = [Check(c.isNull() | ~filled if text else c.isNull(), check_required(meta, c)[0].error)] if not meta.nullable else (
+        check_empty(meta, c) if text else [])
+
+    def when_filled(checks: list[Check]) -> list[Check]:
+        return [Check(filled & x.failed, x.error) for x in checks]
+
+    if kind in TEXT_TYPES and not text:
+        out.append(_mismatch(meta, c, "text"))
+    if kind in ("number", "decimal") or has_name_token(meta.name, NUMBER_NAMES):
+        out += check_range(meta, c.cast("double")) if numeric else when_filled([_mismatch(meta, c, "a number")])
+    if kind == "integer" or has_name_token(meta.name, WHOLE_NUMBER_NAMES):
+        out += check_integer(meta, c.cast("double")) if numeric else when_filled([_mismatch(meta, c, "a whole number")])
+    if kind in BOOLEAN_TYPES and not isinstance(dtype, T.BooleanType):
+        out += when_filled(check_boolean(meta, c) if text else [_mismatch(meta, c, "true or false")])
+    if kind in DATE_TYPES and not isinstance(dtype, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        out += when_filled(check_date(meta, c) if text else [_mismatch(meta, c, "a date")])
+    if kind not in BOOLEAN_TYPES:
+        out += when_filled(check_enum(meta, c))
+    if boolean_names and text:
+        out += when_filled(check_boolean_by_name(meta, c))
+    return out
+
+
+def validate_rows(df: DataFrame, schema: list[ColumnMeta], boolean_names: bool = False, out: str = "errors") -> DataFrame:
+    """Errors of rows as they stand, without cleaning them first."""
+    fields = {f.name.lower(): f for f in df.schema.fields}
+    checks = [x for m in schema if (f := fields.get(m.name.lower())) is not None
+              for x in typed_checks(m, F.col(f"`{f.name}`"), f.dataType, boolean_names)]
+    return df.withColumn(out, error_list(checks))
+
+
 def validate_by_name(df: DataFrame, out: str = "errors") -> DataFrame:
     """Errors of text rows by column name alone: numbers, flags, and an all-empty row."""
     checks = []

@@ -11,19 +11,28 @@ RATE_WINDOW = "1 minute"
 RATE_MAX = 1000
 # ----------------------------------------------------------------------------
 
+SALTS = 8
+
 
 def event_time(df: DataFrame, ts: str) -> DataFrame:
     """Watermarks need a ``timestamp`` column; ``timestamp_ntz`` is read as UTC."""
     return df.withColumn(ts, F.col(ts).cast("timestamp")) if dict(df.dtypes)[ts] == "timestamp_ntz" else df
 
 
-def stream_dedupe(df: DataFrame, key: str | list[str], ts: str = "ts", window: str = REPLAY_WINDOW) -> DataFrame:
+def stream_dedupe(df: DataFrame, key: str | list[str], ts: str = "ts", window: str = REPLAY_WINDOW,
+                  salts: int = SALTS) -> DataFrame:
     """Drops rows whose key was seen within ``window``; older rows are late and dropped.
 
-    State per key is kept only until the watermark has passed it.
+    State per key is kept only until the watermark has passed it. A key that makes
+    up much of the stream is first reduced in ``salts`` places and then once more;
+    ``salts=1`` leaves the first step out.
     """
     keys = [key] if isinstance(key, str) else list(key)
-    return event_time(df, ts).withWatermark(ts, window).dropDuplicatesWithinWatermark(keys)
+    out = event_time(df, ts).withWatermark(ts, window)
+    if salts > 1:
+        salted = out.withColumn("__salt", F.spark_partition_id() % salts)
+        out = salted.dropDuplicatesWithinWatermark([*keys, "__salt"]).drop("__salt")
+    return out.dropDuplicatesWithinWatermark(keys)
 
 
 def rate_counts(df: DataFrame, key: str, ts: str = "ts", window: str = RATE_WINDOW,

@@ -9,7 +9,7 @@ from ..functions.text_safety import classify_requests, flag_injection, strip_htm
 from ..operators.columns import ColumnMeta
 from ..operators.validate import (
     annotate, check_foreign_key, check_unique, clean_and_split, clean_for_restore, normalize_dates,
-    payload_summary, validate_by_name, validate_payload,
+    payload_summary, validate_by_name, validate_payload, validate_rows,
 )
 from .registry import load, query, rounded
 
@@ -179,6 +179,29 @@ def required_nulls(spark, sf):
     return bad.select(F.inline("errors")).groupBy("field", "error_type").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("validate_rows", """
+    SELECT 'quantity' AS field, 'constraint_violation' AS error_type, count(*) AS n FROM lineitem WHERE l_quantity + l_tax > 41
+    UNION ALL SELECT 'quantity', 'invalid_format', count(*) FROM lineitem WHERE l_quantity + l_tax <> floor(l_quantity + l_tax)
+    UNION ALL SELECT 'is_open', 'invalid_format', count(*) FROM lineitem WHERE l_linestatus = 'F'
+    UNION ALL SELECT 'note', 'invalid_format', count(*) FROM lineitem WHERE l_returnflag = 'A'
+    UNION ALL SELECT 'shipped', 'invalid_format', count(*) FROM lineitem WHERE l_returnflag = 'R'
+    UNION ALL SELECT 'amount', 'type_mismatch', count(*) FROM lineitem WHERE l_extendedprice < 5000
+    UNION ALL SELECT 'amount', 'missing_required_value', count(*) FROM lineitem WHERE l_extendedprice >= 5000""")
+def validate_rows_lines(spark, sf):
+    """Values as they stand: nothing is cleaned before it is checked."""
+    df = load(spark, sf, "lineitem", spread=True).select(
+        (F.col("l_quantity") + F.col("l_tax")).alias("quantity"),
+        F.when(F.col("l_linestatus") == "F", "late").otherwise("yes").alias("is_open"),
+        F.nullif("l_returnflag", F.lit("R")).alias("flag"), F.when(F.col("l_returnflag") == "A", "").alias("note"),
+        F.when(F.col("l_returnflag") == "R", "soon").otherwise("2024-01-31").alias("shipped"),
+        F.when(F.col("l_extendedprice") < 5000, "5").otherwise("").alias("amount"))
+    schema = [ColumnMeta("quantity", "number", constraints={"max": 41}), ColumnMeta("is_open", "boolean"),
+              ColumnMeta("flag", "string", nullable=True, constraints={"enum": ["A", "N"]}), ColumnMeta("note", nullable=True),
+              ColumnMeta("shipped", "date"), ColumnMeta("amount", "number")]
+    errors = validate_rows(df, schema).select(F.inline("errors"))
+    return errors.groupBy("field", "error_type").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("validate_by_name", """
     SELECT 'p_count' AS field, count(*) AS n FROM part WHERE p_size >= 40
     UNION ALL SELECT 'is_active', count(*) FROM part WHERE p_type <> 'PROMO'""")

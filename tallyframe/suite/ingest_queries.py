@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators.catalog import list_charts, list_datasets, search_datasets, visible_to
 from ..operators.columns import ColumnMeta
 from ..operators.dedupe import backfill_defaults, dedupe_keep_first, find_duplicates, insert_idempotent
+from ..operators.export import export_dataset
 from ..operators.quarantine import restore_into
 from ..operators.validate import split_structural
 from ..session import scratch_dir
@@ -82,6 +83,30 @@ def ingest_restore(spark, sf):
     return left.union(store.load_dataset("events").agg(F.lit("CLEAN").alias("status"), F.count(F.lit(1)).alias("n")))
 
 
+@query("ingest_drop", "SELECT 'kept' AS dataset, count(*) AS row_count, 0::BIGINT AS quarantined_count FROM orders")
+def ingest_drop(spark, sf):
+    """Of two stored datasets one is dropped with its rows."""
+    store = Store(spark, scratch_dir(spark, "store"))
+    raw = load(spark, sf, "orders").select(*(F.col(c.name).cast("string").alias(c.name) for c in ORDER_SCHEMA),
+                                           F.col("o_orderkey").alias("_row_number"), F.lit("orders").alias("_source_file"))
+    for name in ("kept", "gone"):
+        store.write_dataset(name, raw, ORDER_SCHEMA)
+    store.drop_datasets(["gone", "unknown"])
+    return store.catalog().select("dataset", "row_count", "quarantined_count")
+
+
+@query("export_dataset_csv", """
+    SELECT count(*) AS n, count(DISTINCT l_orderkey) AS orders, round(sum(l_extendedprice), 2) AS total, 0::BIGINT AS filled FROM lineitem""")
+def export_dataset_csv(spark, sf):
+    """A whole table as CSV in parallel parts, with a column it does not have, read back."""
+    path = scratch_dir(spark, "dataset")
+    schema = [ColumnMeta("l_orderkey"), ColumnMeta("l_extendedprice"), ColumnMeta("l_comment")]
+    export_dataset(load(spark, sf, "lineitem"), path, schema)
+    back = spark.read.option("header", "true").csv(path)
+    return rounded(back.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("l_orderkey").alias("orders"),
+                            F.sum(F.col("l_extendedprice").cast("double")).alias("total"), F.count("l_comment").alias("filled")))
+
+
 @query("csv_row_numbers", "SELECT count(*) AS row_count, count(*) AS numbered, 0::BIGINT AS gaps FROM orders")
 def csv_row_numbers(spark, sf):
     """Dense numbers from 2 in every file."""

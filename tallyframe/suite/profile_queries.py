@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from ..functions.names import (
     is_foreign_key, is_generic_id, is_key_like, is_primary_key, points_to, snake_case,
 )
-from ..operators.columns import ColumnMeta, columns_of, serialize_schema
-from ..operators.profile import infer_schema, profile, profile_frame, value_type
+from ..operators.columns import ColumnMeta, columns_of, override_column, serialize_schema
+from ..operators.profile import infer_schema, profile, profile_frame, reclean, value_type
 from ..operators.relate import detect_relationships, edges_of, edges_with_names, merge_edges, types_compatible, value_overlap
 from .registry import load, query, rounded
 
@@ -102,6 +102,26 @@ def schema_compact(spark, sf):
         F.lit("customer").alias("dataset"), compact.alias("columns"), "row_count", F.sha2(compact, 256).alias("fingerprint"))
 
 
+@query("profile_long_texts", """
+    SELECT 'text' AS "column", count(*) AS row_count, count(DISTINCT text) AS unique_count, count(*) AS string_values FROM documents""")
+def profile_long_texts(spark, sf):
+    df = load(spark, sf, "documents", spread=True).select("text")
+    return profile(df, exact=True).select("column", "row_count", "unique_count", "string_values")
+
+
+@query("override_and_reclean", """
+    SELECT p_partkey, replace(p_brand, 'Brand#', '')::DOUBLE AS p_brand, p_size::VARCHAR AS p_size, p_type = 'PROMO' AS p_type
+    FROM part WHERE p_type = 'PROMO'
+    UNION ALL SELECT p_partkey, replace(p_brand, 'Brand#', '')::DOUBLE, p_size::VARCHAR, NULL FROM part WHERE p_type <> 'PROMO'""")
+def override_and_reclean(spark, sf):
+    """Columns whose type a user changed are cleaned again under the new one."""
+    df = load(spark, sf, "part").select("p_partkey", "p_brand", "p_size",
+                                        F.when(F.col("p_type") == "PROMO", "yes").otherwise(F.col("p_type")).alias("p_type"))
+    schema = override_column(columns_of(df), "p_brand", type="number", role="measure")
+    schema = override_column(override_column(schema, "p_size", type="string"), "p_type", type="boolean")
+    return reclean(df, [c for c in schema if c.name != "p_partkey"])
+
+
 @query("value_overlap", """
     WITH a AS (SELECT DISTINCT l_partkey AS v FROM lineitem), b AS (SELECT DISTINCT p_partkey AS v FROM part)
     SELECT (SELECT count(*) FROM a JOIN b USING (v)) AS shared, (SELECT count(*) FROM a) AS a_values,
