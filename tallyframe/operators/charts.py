@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -15,7 +16,7 @@ QUARTILES = (0.25, 0.5, 0.75)
 # ----------------------------------------------------------------------------
 
 BOX = ("min", "q1", "median", "q3", "max")
-_BLOCK = 10_000          # bins made by one generated row
+_BLOCK = 10_000          # bins made by one task
 _SMALL = 1_000_000       # values one task may rank
 _ACCURACY = 10_000       # of the quantile sketch: rank error is at most rows / this
 
@@ -42,33 +43,30 @@ def histogram(df: DataFrame, cols: list[str] | dict[str, str], bin_size: float =
     """Counts per equal-width bin, shared by all measures: measure, bin, bin_start, bin_end, count.
 
     Bins cover the range of all measures from a multiple of the width; empty ones
-    are zero and the last one is closed. The data is read once: values are counted
-    per absolute bin number in the map tasks, and range, closing and zero-filling
-    follow from those counts.
+    are zero and the last one is closed. The range of each measure is found first
+    (one row per measure reaches the driver); values are then counted per bin in
+    the map tasks, so only counts are shuffled. Many tasks make a wide range of bins.
     """
     width = float(bin_size or DEFAULT_BIN_SIZE)
     if min_bin_size is not None:
         width = max(width, min_bin_size)
     if width <= 0:
         raise ValueError("bin_size must be positive")
-    w = F.lit(width)
-    counts = (_long(df, _named(cols))
-              .groupBy("measure", F.floor(F.col("value") / w).alias("k"))
-              .agg(F.count(F.lit(1)).alias("n"), F.max("value").alias("top")))
+    spark, values = df.sparkSession, _long(df, _named(cols))
+    ranges = values.groupBy("measure").agg(F.min("value").alias("lo"), F.max("value").alias("hi")).collect()
+    if not ranges:
+        return spark.createDataFrame([], "measure string, bin long, bin_start double, bin_end double, count long")
+    lo = math.floor(min(r["lo"] for r in ranges) / width)
     # a top value on an edge belongs to the bin below that edge
-    on_edge = F.max("top") == F.max("k") * w
-    span = counts.agg(F.min("k").alias("lo"), F.greatest(F.min("k"), F.max("k") - on_edge.cast("long")).alias("hi"))
-    lo, hi = span.select("lo").scalar(), span.select("hi").scalar()
-    closed = counts.groupBy("measure", F.least(F.col("k"), hi).alias("k")).agg(F.sum("n").alias("n"))
-    # all bins of the measures that have values, in blocks so that many tasks make a wide range
-    series = counts.groupBy("measure").agg(F.max("k").alias("k")).select("measure", lo.alias("lo"), hi.alias("hi"))
-    block = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("hi") - F.col("lo")) / _BLOCK)))
-    first = F.col("lo") + F.col("b") * _BLOCK
-    bins = (series.select("measure", "lo", "hi", block.alias("b"))
-            .select("measure", "lo", F.explode(F.sequence(first, F.least("hi", first + (_BLOCK - 1)))).alias("k")))
-    return bins.join(closed, ["measure", "k"], "left").select(
-        "measure", (F.col("k") - F.col("lo")).alias("bin"), (F.col("k") * w).alias("bin_start"),
-        ((F.col("k") + 1) * w).alias("bin_end"), F.coalesce("n", F.lit(0)).alias("count"))
+    hi = max(lo, math.ceil(max(r["hi"] for r in ranges) / width) - 1)
+    k = F.least(F.floor(F.col("value") / width), F.lit(hi)).cast("long")
+    counts = values.groupBy("measure", k.alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    parts = min(-(-(hi - lo + 1) // _BLOCK), spark.sparkContext.defaultParallelism)
+    measures = F.explode(F.array(*(F.lit(r["measure"]) for r in ranges)))
+    bins = spark.range(lo, hi + 1, numPartitions=parts).select(F.col("id").alias("k"), measures.alias("measure"))
+    return bins.join(counts, ["measure", "k"], "left").select(
+        "measure", (F.col("k") - lo).alias("bin"), (F.col("k") * width).alias("bin_start"),
+        ((F.col("k") + 1) * width).alias("bin_end"), F.coalesce("n", F.lit(0)).alias("count"))
 
 
 def boxplot(df: DataFrame, cols: list[str] | dict[str, str], exact: bool = True) -> DataFrame:
