@@ -473,6 +473,34 @@ def validate_payload(df: DataFrame, schema: list[ColumnMeta]) -> DataFrame:
     return df.withColumn("errors", payload_errors(df, schema))
 
 
+def check_cross_columns(validated: DataFrame, schema: list[ColumnMeta], stored: DataFrame | None = None,
+                        references: dict[str, DataFrame] | None = None) -> DataFrame:
+    """Key constraints of the rows that passed so far, added to their ``errors``.
+
+    ``unique: True`` compares with the ``stored`` rows; ``foreignKey: {"collection",
+    "field"}`` looks the value up in ``references``. Nulls pass. Each lookup is a left
+    join with distinct values.
+    """
+    out = validated.withColumn("__ok", F.size("errors") == 0)
+    checks = []
+    for i, meta in enumerate(schema):
+        fk = meta.constraints.get("foreignKey")
+        lookups = []
+        if meta.constraints.get("unique") and stored is not None:
+            lookups.append((stored.select(F.col(meta.name).alias("__key")), True, "unique", "value is already stored"))
+        if fk and fk["collection"] in (references or {}):
+            keys = references[fk["collection"]].select(F.col(fk["field"]).alias("__key"))
+            lookups.append((keys, False, "foreignKey", f"value is not in {fk['collection']}.{fk['field']}"))
+        for keys, bad_when_found, kind, message in lookups:
+            key, flag = f"__key{i}{kind}", f"__hit{i}{kind}"
+            found = keys.filter(F.col("__key").isNotNull()).distinct().select(F.col("__key").alias(key), F.lit(True).alias(flag))
+            out = out.join(found, F.col(f"`{meta.name}`") == F.col(key), "left")
+            hit = F.col(flag).isNotNull()
+            failed = F.col("__ok") & F.col(f"`{meta.name}`").isNotNull() & (hit if bad_when_found else ~hit)
+            checks.append(Check(failed, error(meta.name, kind, f"{meta.name}: {message}", F.col(f"`{meta.name}`"))))
+    return out.withColumn("errors", F.concat("errors", error_list(checks))).select(*validated.columns)
+
+
 def payload_summary(validated: DataFrame) -> DataFrame:
     """One row: totals of a validated payload."""
     ok = F.size("errors") == 0

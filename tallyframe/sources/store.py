@@ -141,10 +141,10 @@ class Store:
         seen = Observation(f"ingest {dataset}")
         rows = annotated.observe(
             seen, F.count(F.lit(1)).alias("seen"), F.count_if(F.col("_valid")).alias("valid"))
-        if mode != "append":
-            _delete(self.spark, self._path(dataset, "resolutions"))
         (rows.write.mode("append" if mode == "append" else "overwrite")
          .option("partitionOverwriteMode", "static").partitionBy("_valid").parquet(self._path(dataset, "records")))
+        if mode != "append":  # they spoke of the rows just replaced
+            _delete(self.spark, self._path(dataset, "resolutions"))
         counts = seen.get
         report = IngestReport(counts["seen"], counts["valid"], counts["seen"] - counts["valid"])
         old = (entry["row_count"], entry["quarantined_count"]) if mode == "append" else (0, 0)

@@ -8,7 +8,7 @@ from ..functions.cleaning import WHITE_SPACE, clean_boolean, clean_number, clean
 from ..functions.text_safety import classify_requests, flag_injection, strip_html
 from ..operators.columns import ColumnMeta
 from ..operators.validate import (
-    annotate, check_foreign_key, check_unique, clean_and_split, clean_for_restore, normalize_dates,
+    annotate, check_cross_columns, check_foreign_key, check_unique, clean_and_split, clean_for_restore, normalize_dates,
     payload_summary, validate_by_name, validate_payload, validate_rows,
 )
 from .registry import load, query, rounded
@@ -262,6 +262,23 @@ def payload_summary_lines(spark, sf):
     return payload_summary(validate_payload(df, _PAYLOAD))
 
 
+@query("check_cross_columns", """
+    SELECT error_type, count(*) AS n FROM (
+        SELECT CASE WHEN l_quantity < 2 THEN 'minimum'
+                    WHEN l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') THEN 'unique' END AS error_type FROM lineitem
+        UNION ALL SELECT 'foreignKey' FROM lineitem WHERE l_quantity >= 2 AND l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size < 40))
+    WHERE error_type IS NOT NULL GROUP BY 1""")
+def check_cross_columns_lines(spark, sf):
+    """Keys are looked up only for rows that fit the schema."""
+    schema = [ColumnMeta("l_quantity", "number", constraints={"min": 2}),
+              ColumnMeta("l_orderkey", "number", constraints={"unique": True}),
+              ColumnMeta("l_partkey", "number", constraints={"foreignKey": {"collection": "parts", "field": "p_partkey"}})]
+    df = load(spark, sf, "lineitem").select("l_quantity", "l_orderkey", "l_partkey")
+    stored = load(spark, sf, "orders").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"))
+    checked = check_cross_columns(validate_payload(df, schema), schema, stored, {"parts": load(spark, sf, "part").filter("p_size < 40")})
+    return checked.select(F.inline("errors")).groupBy("error_type").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("unique_violations", """
     SELECT c_custkey, c_nationkey FROM customer
     WHERE c_custkey IN (SELECT o_custkey FROM orders) OR c_custkey IN (SELECT c_custkey FROM customer GROUP BY 1 HAVING count(*) > 1)""")
