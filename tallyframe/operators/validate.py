@@ -148,8 +148,8 @@ def check_boolean_by_name(meta: ColumnMeta, c: Column) -> list[Check]:
 
 
 def check_unusable(cols: list[Column]) -> Column:
-    """No column holds a value."""
-    return reduce(lambda a, b: a & b, (F.coalesce(c.cast("string"), F.lit("")) == "" for c in cols))
+    """No column holds a value. Empty text counts as one here; make it null first."""
+    return reduce(lambda a, b: a & b, (c.isNull() for c in cols), F.lit(True))
 
 
 def _mismatch(meta: ColumnMeta, c: Column, wanted: str) -> Check:
@@ -252,7 +252,7 @@ def annotate(df: DataFrame, schema: list[ColumnMeta], mode: str = "ingest",
             warnings.append(Check(values[i].isNull() & (raws[i] != ""),
                                   F.concat(F.lit(f"{names[i]}: could not read '"), raws[i], F.lit("'"))))
     structural = F.col(CORRUPT).isNotNull() if has_corrupt else F.lit(False)
-    unusable_row = check_unusable(values)
+    unusable_row = check_unusable([F.nullif(v, F.lit("")) if m is None else v for m, v in zip(metas, values)])
     # The partition id is never negative. As it is not a function of the row, the optimizer leaves
     # a filter on validity above this step. Below, it would clean every value once per check.
     valid = ~(structural | unusable_row | any_failed(checks)) & (F.spark_partition_id() >= 0)
@@ -405,7 +405,7 @@ def validate_by_name(df: DataFrame, out: str = "errors") -> DataFrame:
         if any(h in low for h in BOOLEAN_NAME_HINTS):
             checks.append(Check(_bad_word(c), error(n, "invalid_format", f"{n}: not a true/false word", c)))
     empty = F.array(error(None, "unusable_row", "no usable value in the row")).cast(ERRORS)
-    unusable = check_unusable([F.col(f"`{n}`") for n in df.columns])
+    unusable = check_unusable([F.nullif(F.col(f"`{n}`").cast("string"), F.lit("")) for n in df.columns])
     return df.withColumn(out, F.when(unusable, empty).otherwise(error_list(checks)))
 
 
