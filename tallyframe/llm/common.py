@@ -41,7 +41,7 @@ def by_batch(df: DataFrame, build: Callable[[], Callable[[pa.RecordBatch], pa.Re
     return df.mapInArrow(run, schema)
 
 
-def slices(batch: pa.RecordBatch, rows: int = 8192, size: int = 24 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, rows: int = 8192, size: int = 12 << 20) -> Iterator[pa.RecordBatch]:
     if batch.num_rows == 0:
         return
     step = max(1, min(rows, int(batch.num_rows * size / max(batch.get_total_buffer_size(), 1))))
@@ -70,7 +70,7 @@ class ChunkTable:
     time but changes no result.
     """
 
-    def __init__(self, encode: Callable[[list[bytes]], list[Sequence[int]]], limit: int = 64 << 20):
+    def __init__(self, encode: Callable[[list[bytes]], list[Sequence[int]]], limit: int = 48 << 20):
         self.encode, self.limit = encode, limit
         self.clear()
 
@@ -131,10 +131,10 @@ def shared(key, build: Callable):
     return _TABLES[key]
 
 
-def word_lists(batch: pa.RecordBatch, name: str = "text") -> tuple[pa.Array, np.ndarray]:
-    """All words of a text column between ASCII white space, and how many each row has. Rows that
-    start or end with white space have an empty word there."""
-    lists = pc.ascii_split_whitespace(batch.column(name).fill_null(""))
+def word_lists(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All words of texts between ASCII white space, and how many each text has. Texts that start
+    or end with white space have an empty word there."""
+    lists = pc.ascii_split_whitespace(texts)
     return lists.flatten(), np.diff(lists.offsets.to_numpy())
 
 

@@ -15,6 +15,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
@@ -25,36 +26,23 @@ BYTES = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1
 MASKS = np.array([0, 0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], np.uint64)
 
 
-PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum() and c != ord("'"))
-
-
 def word_encoder(path: str):
     """Ids of texts without white space. The vocabulary drops white space before it merges anything,
-    so a text is encoded word by word; it lowers case and cuts before punctuation, so ``Word,`` is
-    ``word`` and ``,``, and the library encodes each such part once."""
+    so a text is encoded word by word, each distinct one once."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    known: dict[bytes, list[int]] = {b"": []}
-
-    def parts(word: bytes) -> tuple[bytes, bytes]:
-        if not word.isascii() or b"<|" in word:
-            return word, b""
-        word = word.lower()
-        stem = word.rstrip(PUNCTUATION)
-        return (stem, word[len(stem):]) if stem and stem[-1:].isalnum() else (word, b"")
-
-    def encode(words: list[bytes]) -> list[list[int]]:
-        cut = [parts(w) for w in words]
-        if len(known) > 500_000:
-            known.clear()
-            known[b""] = []
-        new = list({p for pair in cut for p in pair if p not in known})
-        ids = tokenizer.encode_batch_fast([p.decode() for p in new], add_special_tokens=False)
-        known.update((p, e.ids) for p, e in zip(new, ids))
-        return [known[a] + known[b] for a, b in cut]
-    return encode
+    return lambda words: [e.ids for e in tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+
+
+def fewer_words(texts: pa.Array) -> pa.Array:
+    """Texts with the same ids and fewer distinct words: small ASCII letters, and a space before
+    punctuation that follows a letter or digit, where the tokenizer cuts anyway. Texts that may hold a
+    special token, or marks that a letter can be composed with, stay as they are."""
+    cut = pc.replace_substring_regex(pc.ascii_lower(texts), r"([a-z0-9])([!-&(-/:-@\[-`{-~])", r"\1 \2")
+    keep = pc.or_(pc.match_substring(texts, "<|"), pc.match_substring_regex(texts, r"\p{M}"))
+    return pc.if_else(keep, texts, cut)
 
 
 def vocabulary_size(path: str) -> int:
@@ -72,7 +60,7 @@ def encoded(docs: DataFrame, path: str, end_id: int) -> DataFrame:
         table = shared(("words", path), lambda: ChunkTable(word_encoder(path)))
 
         def run(batch):
-            words, per_doc = word_lists(batch)
+            words, per_doc = word_lists(fewer_words(batch.column("text").fill_null("")))
             ids, ends = table.join(table.of(words))
             ends = doc_ends(ends, per_doc)
             data = np.insert(ids, ends, end_id).astype(kind)
