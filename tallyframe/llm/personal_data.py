@@ -147,7 +147,7 @@ class Field:
                 g[:, c] += np.bincount(x.ravel(), np.repeat(p[:, c], x.shape[1]), DIMENSIONS)
             speed = 0.9 * speed - 2.0 * g
             w += speed
-        pairs = np.ones((k, k))
+        pairs = np.zeros((k, k))
         agree = {"same": [1.0, 1.0], "alike": [1.0, 1.0]}
         for _, labels, following, words, shapes in samples:
             for i in following:
@@ -156,8 +156,9 @@ class Field:
                 first: dict[str, int] = {}
                 for key, label in zip(keys, labels):
                     agree[name][0 if first.setdefault(key, label) == label else 1] += 1
-        share = pairs / pairs.sum()
-        chain = np.log(share / np.outer(share.sum(1), share.sum(0)))
+        # Counted neighbours against chance, drawn to chance where few were seen.
+        chance = np.outer(pairs.sum(1), pairs.sum(0)) / max(pairs.sum(), 1)
+        chain = np.log((pairs + 5) / (chance + 5))
         same, alike = (float(np.clip(np.log(a / b), 0, 4)) / 2 for a, b in (agree["same"], agree["alike"]))
         return Field(w, chain, same, alike / 2)
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, licenses, personal_data, piece_codec, quality_rules, simhash, token_files
+from . import decontaminate, licenses, personal_data, piece_codec, quality_model, quality_rules, simhash, token_files
 from .common import load, scratch_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,3 +59,8 @@ def op8_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_license_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(load(spark, sf_dir, "documents")).drop("places")
+
+
+@query
+def op10_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.classify(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
