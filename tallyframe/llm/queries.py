@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, licenses, personal_data, piece_codec, quality_model, quality_rules, simhash, token_files
+from . import decontaminate, licenses, line_dedup, page_text, personal_data, piece_codec, quality_model, quality_rules, simhash, token_files
 from .common import load, scratch_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,11 +36,21 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_report(load(spark, sf_dir, "documents"))
 
 
+@query
+def op3_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(load(spark, sf_dir, "documents"))
+
+
 @query
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(load(spark, sf_dir, "documents"))
 
 
+@query
+def op5_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_text.extract(load(spark, sf_dir, "pages"))
+
+
 @query
 def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data.find(load(spark, sf_dir, "documents"))
