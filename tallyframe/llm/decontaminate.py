@@ -197,3 +197,27 @@ def _step(items, width, coverage):
             return pa.record_batch([pa.array(x, k) for x, k in zip((a, b, c, d, e, f, g), kinds)],
                                    [x.split()[0] for x in LEAKS.split(",")])
     return run
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, coverage: float = COVERAGE,
+                  block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The rows of ``documents`` that no passage leaks into, as they came; null texts stay."""
+    names = ["doc_id", "text", "lang", "source", "n_chars"]
+    df = columns(docs, doc_id="bigint", text="string", lang="string", source="string", n_chars="bigint")
+    for items in blocks(benchmark, block_words):
+        df = by_batch(df, lambda items=items: _filter(items, width, coverage), ", ".join(f"{n} {t}" for n, t in df.dtypes))
+    return df.select(*names)
+
+
+def _filter(items, width, coverage):
+    find = _step(items, width, coverage)
+
+    def run(batch):
+        places = pa.record_batch([pa.array(range(batch.num_rows), pa.int64()), batch.column("text")], ["doc_id", "text"])
+        leaking = find(places)
+        if leaking is None:
+            return batch
+        keep = np.ones(batch.num_rows, bool)
+        keep[leaking.column("doc_id").to_numpy()] = False
+        return batch.filter(pa.array(keep))
+    return run

@@ -83,21 +83,28 @@ def encode_decode(docs: DataFrame, model_path: str) -> DataFrame:
     return by_batch(documents(docs), build, "doc_id long, ids array<int>, decoded string")
 
 
-def digests(docs: DataFrame, model_path: str) -> DataFrame:
-    """As ``encode_decode``, but with digests in place of the ids and the decoded text."""
+def tokens(docs: DataFrame, model_path: str, ids: bool = True) -> DataFrame:
+    """Per document: ``doc_id, n_tokens, ids, ids_sha256, decoded_sha256``; null and empty texts have no ids."""
     check_model(model_path)
 
     def build():
         step = shared(("pieces", model_path), lambda: _Step(model_path))
 
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-            rows = [(len(ids), hashlib.sha256(text).hexdigest(), hashlib.sha256(decoded().encode()).hexdigest())
-                    for ids, text, decoded in step(batch)]
-            n, a, b = zip(*rows)
-            return pa.record_batch([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(a), pa.array(b)],
-                                   ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            rows = [(len(own), own if ids else None, hashlib.sha256(text).hexdigest(), hashlib.sha256(decoded().encode()).hexdigest())
+                    for own, text, decoded in step(batch)]
+            n, lists, a, b = zip(*rows)
+            return pa.record_batch([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(lists, pa.list_(pa.int32())),
+                                    pa.array(a), pa.array(b)], ["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"])
         return run
-    return by_batch(documents(docs), build, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    rows = by_batch(documents(docs), build,
+                    "doc_id long, n_tokens long, ids array<int>, ids_sha256 string, decoded_sha256 string")
+    return rows if ids else rows.drop("ids")
+
+
+def digests(docs: DataFrame, model_path: str) -> DataFrame:
+    """``tokens`` without the ids, which then never leave the tasks."""
+    return tokens(docs, model_path, ids=False)
 
 
 class _Step:

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
+
 from . import decontaminate, licenses, line_dedup, page_text, personal_data, piece_codec, quality_model, quality_rules, simhash, token_files
 from .common import load, scratch_dir
 
@@ -74,3 +76,12 @@ def op9_license_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.classify(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
+@query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

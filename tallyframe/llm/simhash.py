@@ -20,10 +20,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import by_batch, connected, documents, utf8, written
+from .common import by_batch, columns, connected, documents, utf8, written
 
 BITS = (np.arange(256)[:, None] >> np.arange(7, -1, -1) & 1).astype(np.int64)
-#: One digit per byte of the fingerprint, most significant first.
 SHARED_AT_LEAST = 4
 
 
@@ -59,12 +58,14 @@ def fingerprint(text: bytes, width: int = 4, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(raw)).tobytes(), "big", signed=True)
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """``doc_id`` and ``fp``, the fingerprint as a signed long. A text without words, null too, has 0."""
+def fingerprints(docs: DataFrame, key: Column | None = None) -> DataFrame:
+    """``doc_id``, ``key`` and ``fp``, the fingerprint as a signed long. A text without words, null too, has 0."""
     def build():
         return lambda batch: pa.record_batch(
-            [batch.column("doc_id"), pa.array(map(fingerprint, utf8(batch)), pa.int64())], ["doc_id", "fp"])
-    return by_batch(documents(docs), build, "doc_id long, fp long")
+            [batch.column("doc_id"), batch.column("key"), pa.array(map(fingerprint, utf8(batch)), pa.int64())],
+            ["doc_id", "key", "fp"])
+    rows = documents(docs).withColumn("key", F.lit(0).cast("long") if key is None else key)
+    return by_batch(rows, build, "doc_id long, key long, fp long")
 
 
 def _byte(fp: Column, i: int) -> Column:
@@ -118,6 +119,14 @@ def _through_values(fps: DataFrame, half: int, rest: int) -> DataFrame:
     return links.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= half + rest).distinct()
 
 
+def _components(rows: DataFrame, bits: int, dense: int) -> DataFrame:
+    """(own, root) of every distinct fingerprint of ``rows``."""
+    distinct = written(rows.select("fp").distinct(), "simhash-distinct")
+    roots = connected(close_pairs(distinct, bits, dense), "simhash-components")
+    return distinct.join(roots, distinct.fp == roots.node, "left").select(
+        F.col("fp").alias("own"), F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, bits: int = 4, dense: int = 256) -> DataFrame:
     """Per document: ``doc_id, fingerprint`` (16 hexadecimal digits) and ``component_id``, the smallest
     ``doc_id`` that links of at most ``bits`` differing bits reach, itself included.
@@ -126,13 +135,25 @@ def near_duplicates(docs: DataFrame, bits: int = 4, dense: int = 256) -> DataFra
     part; a component of such rows only has a null id. Repeated rows are returned as often as they come.
     """
     rows = written(fingerprints(docs), "simhash-fingerprints")
-    groups = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    groups = written(groups, "simhash-distinct")
-    roots = connected(close_pairs(groups.select("fp"), bits, dense), "simhash-components")
-    named = groups.join(roots, groups.fp == roots.node, "left").select(
-        "fp", F.coalesce("root", "fp").alias("root"), "least")
-    smallest = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = _components(rows, bits, dense)
+    least = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    smallest = named.join(least, F.col("own") == F.col("fp")).groupBy("root").agg(F.min("least").alias("component_id"))
     # One row per distinct fingerprint; a third of all documents may share one.
-    of = named.join(smallest, "root").select(F.col("fp").alias("own"), "component_id")
+    of = named.join(smallest, "root").select("own", "component_id")
     return rows.join(of, F.col("fp") == F.col("own")).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_per_group(docs: DataFrame, bits: int = 4, dense: int = 256) -> DataFrame:
+    """The rows of ``documents``, one of each component: the smallest ``doc_id``, null last, and of equal
+    ids the least by a hash of the row. Of repeated rows one stays."""
+    df = columns(docs, doc_id="bigint", text="string", lang="string", source="string", n_chars="bigint")
+    key = F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
+    rows = written(fingerprints(df, key=key), "simhash-fingerprints")
+    named = _components(rows, bits, dense)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")).alias("first")
+    of_print = rows.groupBy("fp").agg(first)
+    kept = named.join(of_print, F.col("own") == F.col("fp")).groupBy("root").agg(F.min("first").alias("first"))
+    keys = kept.select(F.col("first.key").alias("of"))
+    stay = df.withColumn("key", key).join(keys, F.col("key") == F.col("of"), "left_semi")
+    return stay.dropDuplicates(["key"]).drop("key")
