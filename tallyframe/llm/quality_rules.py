@@ -31,6 +31,8 @@ CHAR_LIMIT, WORD_LIMIT = 0.16, 0.4
 FEW = 24
 #: A language needs so many documents to have a reference.
 MIN_REFERENCE = 20
+#: So many references of some 500 bytes are broadcast at most.
+BROADCAST_LANGUAGES = 2000
 
 
 def without(text: Column, pattern: str) -> Column:
@@ -113,7 +115,7 @@ def distance(p: Column, q: Column) -> Column:
         return F.when(x > 0, x * F.log2(x / m)).otherwise(0.0)
     terms = F.zip_with(p, q, lambda x, y: part(x, (x + y) / 2) + part(y, (x + y) / 2))
     total = F.aggregate(terms, F.lit(0.0), lambda a, x: a + x) / 2
-    return F.sqrt(F.greatest(total, F.lit(0.0)))
+    return F.sqrt(F.when(total < 0, 0.0).otherwise(total))
 
 
 def measure(docs: DataFrame) -> DataFrame:
@@ -128,7 +130,10 @@ def judge(measured: DataFrame, char_limit: float = CHAR_LIMIT, word_limit: float
     A distance is null, and rejects nothing, where the text is below the histogram's minimum length or
     the language has no reference.
     """
-    with_reference = measured.join(references(measured), measured.lang == F.col("of_lang"), "left")
+    known = written(references(measured), "quality-references")
+    # A language may have a third of all rows, so few references go to every task; many are joined.
+    small = F.broadcast(known) if known.count() <= BROADCAST_LANGUAGES else known
+    with_reference = measured.join(small, measured.lang == F.col("of_lang"), "left")
     judged = with_reference.withColumns({
         "char_distance": F.when(F.col("n_text") >= MIN_CHARS, distance(F.col("chars"), F.col("ref_chars"))),
         "word_distance": F.when(F.col("n_words") >= MIN_WORDS, distance(F.col("words"), F.col("ref_words"))),
