@@ -23,6 +23,8 @@ from .common import ChunkTable, by_batch, doc_ends, documents, shared, word_list
 
 #: How many data bytes each of the four numbers of a control byte has.
 BYTES = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1
+#: So many rows of two numbers are broadcast at most.
+BROADCAST_SHARDS = 200_000
 MASKS = np.array([0, 0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], np.uint64)
 
 
@@ -164,8 +166,9 @@ def starts(files: DataFrame) -> DataFrame:
     """``start`` counted over all files: the tokens of all earlier shards are added. One row per shard
     is ordered in one place, never one per document."""
     totals = files.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
-    before = totals.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("before"))
-    return files.join(before, "shard").withColumn("start", F.col("start") + F.col("before")).drop("before")
+    before = written(totals.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("before")), "token-starts")
+    small = F.broadcast(before) if before.count() <= BROADCAST_SHARDS else before
+    return files.join(small, "shard").withColumn("start", F.col("start") + F.col("before")).drop("before")
 
 
 def _decode(files: DataFrame, ids_by_rank: np.ndarray, schema: str, values) -> DataFrame:
