@@ -88,13 +88,15 @@ def native_date(text: Column) -> Column:
     iso = r"^\d{4}-\d{1,2}(-\d{1,2}([ T]\d{1,2}:\d{2}.*)?)?$"
     slashed = r"^(\d{4})/(\d{1,2})/(\d{1,2})((?: \d{1,2}:\d{2}(?::\d{2})?)?)$"
     month_first = r"^(\d{1,2})[-/](\d{1,2})[-/](\d{4})((?: \d{1,2}:\d{2}(?::\d{2})?)?)$"
-    named = F.regexp_replace(text, r"^(?i:mon|tue|wed|thu|fri|sat|sun)[a-z]*,? +", "")
+    # An optional weekday and day, then a month's name: however many spaces lie between them.
+    month = r"(?i)^(?:(?:mon|tue|wed|thu|fri|sat|sun)[a-z]*,?\s+)?(?:\d{1,2}[-\s]+)?(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)"
+    named = F.regexp_replace(F.regexp_replace(text, r"^(?i:mon|tue|wed|thu|fri|sat|sun)[a-z]*,?\s+", ""), r"\s+", " ")
     return (
         F.when(text.rlike(iso), text.try_cast("timestamp"))
         .when(text.rlike(slashed), F.regexp_replace(text, slashed, "$1-$2-$3$4").try_cast("timestamp"))
         .when(text.rlike(month_first), F.regexp_replace(text, month_first, "$3-$1-$2$4").try_cast("timestamp"))
         .when(
-            (F.length(text) <= 40) & text.rlike(r"(?i)\b(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)"),
+            text.rlike(month),
             F.coalesce(*(F.try_to_timestamp(named, F.lit(f)) for f in MONTH_NAME_FORMATS)),
         )
     )

@@ -20,6 +20,12 @@ def time_bucket(c: Column, unit: str, timezone: str = "UTC", dtype: T.DataType |
     if isinstance(dtype, T.StringType):
         c = F.try_to_timestamp(c)
     shifted = timezone.upper() not in ("UTC", "Z", "GMT")
+    if unit == "hour" and shifted:
+        # An hour that a clock change repeats is two hours: take the wall clock's minutes off the instant.
+        wall = F.from_utc_timestamp(c, timezone)
+        start = F.timestamp_micros(F.unix_micros(c.cast("timestamp")) - (
+            F.unix_micros(wall.cast("timestamp")) - F.unix_micros(F.date_trunc("hour", wall).cast("timestamp"))))
+        return start.cast("timestamp_ntz") if isinstance(dtype, T.TimestampNTZType) else start
     wall = F.from_utc_timestamp(c, timezone) if shifted else c
     if unit == "week":
         one_day = F.expr("INTERVAL '1' DAY")

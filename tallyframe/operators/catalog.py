@@ -5,15 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 # --- fixed values -----------------------------------------------------------
-LIST_DATASETS = (100, 500)  # default, most
-LIST_CHARTS = (1000, 2000)
+LIST_DATASETS = 100  # default page sizes
+LIST_CHARTS = 1000
 # ----------------------------------------------------------------------------
 
 
-def list_datasets(catalog: DataFrame, n: int | None = None, created: str = "created_at") -> DataFrame:
+def _newest(df: DataFrame, time: str, id: str | None) -> DataFrame:
+    """Newest first; equal times are ordered by the id, so that pages neither repeat nor miss rows."""
+    keys = [F.desc(time)] + ([F.asc(id)] if id in df.columns else [])
+    return df.orderBy(*keys)
+
+
+def list_datasets(catalog: DataFrame, n: int | None = None, created: str = "created_at", id: str = "dataset") -> DataFrame:
     """Newest datasets first."""
-    default, most = LIST_DATASETS
-    return catalog.orderBy(F.desc(created)).limit(min(n or default, most))
+    return _newest(catalog, created, id).limit(n or LIST_DATASETS)
 
 
 def search_datasets(catalog: DataFrame, term: str = "", sort: str = "created_at", order: str = "desc",
@@ -35,9 +40,8 @@ def visible_to(df: DataFrame, user: str | None, role: str | None, status: str =
 
 
 def list_charts(charts: DataFrame, dataset: str | None = None, limit: int | None = None, offset: int = 0,
-                key: str = "dataset", updated: str = "updated_at") -> tuple[DataFrame, DataFrame]:
+                key: str = "dataset", updated: str = "updated_at", id: str = "chart_id") -> tuple[DataFrame, DataFrame]:
     """(one page of chart specs, newest first; one row with the total)."""
-    default, most = LIST_CHARTS
     rows = charts.filter(F.col(key) == dataset) if dataset else charts
-    page = rows.orderBy(F.desc(updated)).offset(max(offset, 0)).limit(min(limit or default, most))
+    page = _newest(rows, updated, id).offset(max(offset, 0)).limit(limit or LIST_CHARTS)
     return page, rows.agg(F.count(F.lit(1)).alias("total"))

@@ -39,12 +39,12 @@ def _named(cols: list[str] | dict[str, str]) -> dict[str, Column]:
 
 
 def histogram(df: DataFrame, cols: list[str] | dict[str, str], bin_size: float = DEFAULT_BIN_SIZE,
-              min_bin_size: float | None = MIN_BIN_SIZE) -> DataFrame:
+              min_bin_size: float | None = MIN_BIN_SIZE, empty: bool = True) -> DataFrame:
     """Counts per equal-width bin, shared by all measures: measure, bin, bin_start, bin_end, count.
 
-    Bins cover the range of all measures from a multiple of the width; empty ones
-    are zero and the last one is closed. The range of each measure is found first
-    (one row per measure reaches the driver); values are then counted per bin in
+    Bins cover the range of all measures from a multiple of the width; the last one is closed. Empty bins
+    are zero, or left out with ``empty=False``, as a very wide range wants. The range of each measure is found
+    first (one row per measure reaches the driver); values are then counted per bin in
     the map tasks, so only counts are shuffled. Many tasks make a wide range of bins.
     """
     width = float(bin_size or DEFAULT_BIN_SIZE)
@@ -59,14 +59,24 @@ def histogram(df: DataFrame, cols: list[str] | dict[str, str], bin_size: float =
     lo = math.floor(min(r["lo"] for r in ranges) / width)
     # a top value on an edge belongs to the bin below that edge
     hi = max(lo, math.ceil(max(r["hi"] for r in ranges) / width) - 1)
-    k = F.least(F.floor(F.col("value") / width), F.lit(hi)).cast("long")
+    # Bins are counted from the first one as doubles, which hold any number a value can be divided to.
+    k = F.least(_floor(F.col("value") / width), F.lit(float(hi))) - F.lit(float(lo))
     counts = values.groupBy("measure", k.alias("k")).agg(F.count(F.lit(1)).alias("n"))
-    parts = min(-(-(hi - lo + 1) // _BLOCK), spark.sparkContext.defaultParallelism)
-    measures = F.explode(F.array(*(F.lit(r["measure"]) for r in ranges)))
-    bins = spark.range(lo, hi + 1, numPartitions=parts).select(F.col("id").alias("k"), measures.alias("measure"))
-    return bins.join(counts, ["measure", "k"], "left").select(
-        "measure", (F.col("k") - lo).alias("bin"), (F.col("k") * width).alias("bin_start"),
-        ((F.col("k") + 1) * width).alias("bin_end"), F.coalesce("n", F.lit(0)).alias("count"))
+    if empty:
+        parts = min(-(-(hi - lo + 1) // _BLOCK), spark.sparkContext.defaultParallelism)
+        if hi - lo >= 1 << 53:
+            raise ValueError("too many bins to list the empty ones; use empty=False or wider bins")
+        measures = F.explode(F.array(*(F.lit(r["measure"]) for r in ranges)))
+        bins = spark.range(0, hi - lo + 1, numPartitions=parts).select(F.col("id").cast("double").alias("k"), measures.alias("measure"))
+        counts = bins.join(counts, ["measure", "k"], "left")
+    start = F.lit(float(lo)) + F.col("k")
+    return counts.select("measure", F.col("k").try_cast("long").alias("bin"), (start * width).alias("bin_start"),
+                         ((start + 1) * width).alias("bin_end"), F.coalesce("n", F.lit(0)).alias("count"))
+
+
+def _floor(x: Column) -> Column:
+    """The whole double below; from 2**52 on every double is whole."""
+    return F.when(F.abs(x) < float(1 << 52), F.floor(x).cast("double")).otherwise(x)
 
 
 def boxplot(df: DataFrame, cols: list[str] | dict[str, str], exact: bool = True) -> DataFrame:

@@ -37,6 +37,8 @@ class ColumnMeta:
     null_count: int = 0
     unique_count: int = 0
     confidence: float | None = None
+    #: Values per type, where a profile counted them.
+    type_counts: dict[str, int] = dc_field(default_factory=dict)
 
     @property
     def kind(self) -> str:
@@ -80,11 +82,14 @@ def spark_type(meta: ColumnMeta) -> T.DataType:
 
 
 def resolved_kind(meta: ColumnMeta) -> str:
-    """Type to clean by. A mixed column takes its role's or its samples' main type."""
+    """Type to clean by. A mixed column takes its role's main type, or that of its counted values, or, without
+    counts, of its samples."""
     if meta.kind != "mixed":
         return meta.kind
     if (meta.role or "").lower() == "measure":
         return "number"
+    if meta.type_counts:
+        return max(("string", "number", "date", "boolean"), key=lambda t: meta.type_counts.get(t, 0))
     votes = {"number": 0, "boolean": 0, "string": 0}
     for v in meta.sample_values:
         if isinstance(v, bool):

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..plans.predicates import apply_filters
 from ..plans.query import as_spec, export_columns, run_query
-from ..plans.spec import MAX_ROW_LIMIT, QuerySpec, leading_int, merge_filters
+from ..plans.spec import QuerySpec, merge_filters
 from .charts import histogram
 from .columns import ColumnMeta
 
@@ -69,7 +69,7 @@ def write_csv(df: DataFrame, path: str, single_file: bool = False) -> None:
 def spec_from_export(context: dict[str, Any] | None) -> QuerySpec:
     """Query of an export request, with the dashboard's filters added.
 
-    The cap is the largest row limit a query may have.
+    All rows are exported unless the request has a limit.
     """
     context = context or {}
     query = context.get("query")
@@ -84,8 +84,7 @@ def spec_from_export(context: dict[str, Any] | None) -> QuerySpec:
             "filters": merge_filters(context.get("filters"), context.get("dashboardFilters")),
             "orderBy": chosen("sort") or chosen("orderBy"),
         } | {k: context.get(k) for k in ("raw", "rowLimit", "seriesLimit", "contributionMode")}
-    limit = leading_int(query.get("rowLimit"))
-    return QuerySpec.from_dict(query | {"rowLimit": limit if limit and limit <= MAX_ROW_LIMIT else MAX_ROW_LIMIT})
+    return QuerySpec.from_dict(query)
 
 
 def histogram_table(df: DataFrame, spec: QuerySpec | dict) -> DataFrame:
@@ -122,10 +121,10 @@ def export_frame(df: DataFrame, context: dict) -> DataFrame:
     return export_rows(out, export_columns(spec, out))
 
 
-def export_csv(df: DataFrame, path: str, context: dict | None = None) -> DataFrame:
-    """Write an export request's rows (at most 50 000) as one CSV file with a header."""
-    out = export_frame(df, context) if context else flatten(df).limit(MAX_ROW_LIMIT)
-    write_csv(out, path, single_file=True)
+def export_csv(df: DataFrame, path: str, context: dict | None = None, single_file: bool = False) -> DataFrame:
+    """Write an export request's rows as CSV with headers, in parallel parts unless one file is asked for."""
+    out = export_frame(df, context) if context else flatten(df)
+    write_csv(out, path, single_file=single_file)
     return out
 
 

@@ -164,11 +164,11 @@ def examples(df: DataFrame, sample: int = SAMPLE_SIZE) -> dict[str, tuple[str, .
     return {n: tuple(dict.fromkeys(r[n] for r in head if r[n] not in (None, "")))[:EXAMPLES] for n in names}
 
 
-def infer_schema(df: DataFrame, sample: int | None = SAMPLE_SIZE, exact: bool = True) -> list[ColumnMeta]:
+def infer_schema(df: DataFrame, sample: int | None = None, exact: bool = False) -> list[ColumnMeta]:
     """Types, roles, constraints and examples of all columns.
 
-    The first ``sample`` rows decide, as a preview does; ``sample=None`` profiles
-    every row.
+    All rows decide, with distinct counts from a sketch unless ``exact``; with ``sample`` the first rows do, as
+    in a preview. Examples are the first values that come up.
     """
     rows = {r["column"]: r for r in profile(df if sample is None else df.limit(sample), exact).collect()}
     shown = examples(df, sample or SAMPLE_SIZE)
@@ -184,7 +184,7 @@ def infer_schema(df: DataFrame, sample: int | None = SAMPLE_SIZE, exact: bool =
         out.append(ColumnMeta(
             n, kind, role=role, constraints=infer_constraints(n, kind), suggested_aggregation=aggregation,
             sample_values=shown[n], null_count=r["null_count"], unique_count=r["unique_count"],
-            confidence=confidence))
+            confidence=confidence, type_counts={t: r[f"{t}_values"] for t in TYPE_ORDER if r[f"{t}_values"]}))
     return out
 
 

@@ -45,6 +45,9 @@ def _text(df: DataFrame, name: str) -> Column:
     """Value as text; only text can carry outer white space."""
     c = F.col(f"`{name}`")
     text = isinstance(df.schema[name].dataType, T.StringType)
+    if isinstance(df.schema[name].dataType, (T.FractionalType, T.DecimalType)):
+        # A whole number has one text, whatever type holds it.
+        return F.coalesce(F.when(c == F.floor(c), c.try_cast("decimal(38,0)").cast("string")), c.cast("string"))
     return comparison_key(trimmed(c)) if text else c.cast("string")
 
 
@@ -212,7 +215,9 @@ def detect_relationships(spark: SparkSession, datasets: dict[str, list[ColumnMet
         measured = measured.select(position[F.col("a")].alias("i"), position[F.col("b")].alias("j"),
                                    F.col("overlap"), F.col("a_values").alias("a_unique"),
                                    F.col("b_values").alias("b_unique"))
-        frame = base.drop("overlap", "a_unique", "b_unique").join(measured, ["i", "j"])
+        frame = base.drop("overlap", "a_unique", "b_unique").join(measured, ["i", "j"], "left")
+        # Columns without any value have no overlap, but may be linked by their names.
+        frame = frame.fillna({"overlap": 0.0, "a_unique": 0, "b_unique": 0})
     ab, ba = score_pair("a", "b"), score_pair("b", "a")
     forward = ab >= ba
 

@@ -171,8 +171,8 @@ def spec_for_chart(chart: dict, filters: Any = ()) -> QuerySpec:
 def run_chart(df: DataFrame, chart: dict, filters: Any = ()) -> DataFrame:
     """Drawable rows of a chart.
 
-    Histograms and box plots are computed over all filtered rows on the cluster;
-    a row limit applies to them only when the chart asks for one.
+    Everything is computed over all filtered rows on the cluster; a row limit applies only when the chart
+    asks for one.
     """
     spec = spec_for_chart(chart, filters)
     kind = spec.chart_type
@@ -207,13 +207,15 @@ def run_dashboard(charts: dict[str, dict] | list[dict], frames: dict[str, DataFr
     """Result frame per chart id; a chart used twice is planned once.
 
     ``cache=True`` keeps the columns the charts of one dataset need in memory, or
-    on disk, for the run; call ``unpersist`` on ``frames`` yourself afterwards.
+    on disk, until ``spark.catalog.clearCache``.
     """
     items = charts.items() if isinstance(charts, dict) else ((c.get("chartId"), c) for c in charts)
     wanted = {cid: c for cid, c in items if cid and chart_dataset(c) in frames}
     sources = dict(frames)
     if cache:
         for dataset in {chart_dataset(c) for c in wanted.values()}:
-            sources[dataset] = frames[dataset].persist()
+            own = [spec_for_chart(c, filters_of(filters, dataset)) for c in wanted.values() if chart_dataset(c) == dataset]
+            used = {x.field for s in own for x in (*s.dimensions, *s.measures, *s.filters)}
+            sources[dataset] = frames[dataset].select(*(f"`{n}`" for n in frames[dataset].columns if n in used)).persist()
     return {cid: run_chart(sources[chart_dataset(c)], c, filters_of(filters, chart_dataset(c)))
             for cid, c in wanted.items()}

@@ -124,6 +124,8 @@ def typed_literal(v: Any, dtype: T.DataType) -> Column:
         return F.lit(Decimal(str(v)))
     if isinstance(dtype, T.FractionalType):
         return F.lit(float(v))
+    if isinstance(dtype, T.IntegralType):
+        return F.lit(int(v)).cast(dtype)
     if isinstance(dtype, (T.TimestampType, T.TimestampNTZType, T.DateType)):
         text = v.isoformat(sep=" ")
         if isinstance(dtype, T.TimestampType):
@@ -139,6 +141,15 @@ def _integral_bound(op: str, v: Any) -> tuple[str, Any]:
     return (">=", math.ceil(v)) if op in (">", ">=") else ("<=", math.floor(v))
 
 
+_BITS = {"tinyint": 8, "smallint": 16, "int": 32, "bigint": 64}
+
+
+def _fits(v: Any, dtype: T.DataType) -> bool:
+    """Whether a whole number is in the range of an integer type."""
+    half = 1 << _BITS[dtype.simpleString()] - 1
+    return -half <= v < half
+
+
 def _one_of(c: Column, dtype: T.DataType, values: list[Any], op: str) -> tuple[Column | None, bool]:
     """(``c`` equals one of the typed values or None if none can, null wanted)."""
     wants_null = any(v is None for v in values)
@@ -146,7 +157,7 @@ def _one_of(c: Column, dtype: T.DataType, values: list[Any], op: str) -> tuple[C
     if isinstance(dtype, T.StringType):
         typed += [v for v in values if isinstance(v, str)]
     if isinstance(dtype, T.IntegralType):
-        typed = [int(v) for v in typed if v is not NO_VALUE and v == int(v)]
+        typed = [int(v) for v in typed if v is not NO_VALUE and math.isfinite(v) and v == int(v) and _fits(int(v), dtype)]
     if isinstance(dtype, T.DateType):
         typed = [v for v in typed if v is not NO_VALUE and v.time() == datetime.min.time()]
         unique = list(dict.fromkeys(v.date() for v in typed))
@@ -172,7 +183,10 @@ def _order(c: Column, dtype: T.DataType, op: str, value: Any) -> Column:
     if v is NO_VALUE or isinstance(dtype, T.NullType):
         return F.lit(False)
     if isinstance(dtype, T.IntegralType):
-        op, v = _integral_bound(op, v)
+        if math.isfinite(v):
+            op, v = _integral_bound(op, v)
+        if not math.isfinite(v) or not _fits(v, dtype):  # beyond the type: all values, or none
+            return c.isNotNull() if (v > 0) == (op in ("<", "<=")) else F.lit(False)
     if isinstance(dtype, T.DateType):
         if v.time() != datetime.min.time():  # inside a day: compare with its edge
             op = "<=" if op in ("<", "<=") else ">"

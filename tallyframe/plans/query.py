@@ -7,7 +7,7 @@ import time
 from contextlib import redirect_stdout
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.timebucket import time_bucket
 from .predicates import SchemaMap, apply_filters
@@ -32,21 +32,28 @@ def measure_column(m: Measure, schema: SchemaMap) -> Column:
     numeric = isinstance(dtype, T.NumericType)
     if m.aggregation == "AVG":
         return F.avg(c) if numeric else F.max(F.lit(None).cast("double"))
+    if isinstance(dtype, T.IntegralType):
+        # Sums may pass the range of a long: add exactly, then take the nearest double.
+        return F.coalesce(F.sum(c.cast("decimal(20,0)")).cast("double"), F.lit(0.0))
     return F.coalesce(F.sum(c), F.lit(0)) if numeric else F.max(F.lit(0.0))
 
 
 def _contribution(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Measures as percent of their total over the returned (limited) rows."""
-    whole = Window.partitionBy()
+    """Measures as percent of their total over the returned (limited) rows. The totals are one row, added up
+    in the map tasks and read as scalars."""
     numeric = {f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)}
+    measures = [n for n in df.columns if n in keys and n in numeric]
+    if not measures:
+        return df
+    value = {n: F.coalesce(F.col(f"`{n}`").cast("double"), F.lit(0.0)) for n in measures}
+    totals = df.agg(*(F.sum(value[n]).alias(f"t{i}") for i, n in enumerate(measures)))
     out = []
     for name in df.columns:
         c = F.col(f"`{name}`")
-        if name in keys and name in numeric:
-            c = c.cast("double")
-            total = F.sum(F.coalesce(c, F.lit(0.0))).over(whole)
-            share = F.round(F.coalesce(c, F.lit(0.0)) / F.nullif(total, F.lit(0.0)) * 100, 2)
-            c = F.when(total != 0, share).otherwise(c)
+        if name in value:
+            total = totals.select(f"t{measures.index(name)}").scalar()
+            share = F.round(value[name] / F.nullif(total, F.lit(0.0)) * 100, 2)
+            c = F.when(total != 0, share).otherwise(c.cast("double"))
         out.append(c.alias(name))
     return df.select(*out)
 
@@ -79,6 +86,10 @@ def _grouped(df: DataFrame, spec: QuerySpec, schema: SchemaMap) -> tuple[DataFra
     return grouped, [n for n in dims if n not in aggs], list(aggs)
 
 
+def _limited(df: DataFrame, spec: QuerySpec) -> DataFrame:
+    return df if spec.limit is None else df.limit(spec.limit)
+
+
 def run_query(df: DataFrame, spec: QuerySpec | dict, strict: bool = False) -> DataFrame:
     """Filters, then raw rows or groups, then sort, limit and percent of total.
 
@@ -90,14 +101,14 @@ def run_query(df: DataFrame, spec: QuerySpec | dict, strict: bool = False) -> Da
     df = apply_filters(df, spec.filters, strict)
     schema = SchemaMap(df, strict)
     if spec.raw:
-        return _raw(df, spec, schema).limit(spec.limit)
+        return _limited(_raw(df, spec, schema), spec)
     out, dims, measures = _grouped(df, spec, schema)
     if dims:
         order = {s.field: s.descending for s in spec.sorts if s.field in out.columns}
         order |= {d: False for d in dims if d not in order}
         out = out.orderBy(*(F.col(f"`{n}`").desc() if down else F.col(f"`{n}`").asc()
                             for n, down in order.items()))
-    out = out.limit(spec.limit)
+    out = _limited(out, spec)
     return _contribution(out, measures) if spec.contribution_mode == "row" else out
 
 
@@ -118,8 +129,9 @@ def explain_spec(df: DataFrame, spec: QuerySpec | dict, mode: str = "formatted")
 
 
 def preview(df: DataFrame, limit: int = 25, offset: int = 0, order: str = "_row_number") -> DataFrame:
-    """One page of rows in source order (at most 500)."""
-    return df.orderBy(order).offset(max(offset, 0)).limit(min(limit or 25, 500))
+    """One page of rows in source order; equal places are ordered by a hash of the row."""
+    ties = F.xxhash64(*(F.col(f"`{f.name}`") for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))))
+    return df.orderBy(order, ties).offset(max(offset, 0)).limit(limit or 25)
 
 
 @dataclass
@@ -134,5 +146,5 @@ class QueryResult:
     @classmethod
     def run(cls, df: DataFrame, spec: QuerySpec | dict) -> QueryResult:
         spec, start = as_spec(spec), time.monotonic()
-        rows = [r.asDict(recursive=True) for r in run_query(df, spec).collect()]  # <= 50 000 by spec.limit
+        rows = [r.asDict(recursive=True) for r in run_query(df, spec).collect()]  # as many as the spec's limit allows
         return cls(rows, len(rows), int((time.monotonic() - start) * 1000), spec)

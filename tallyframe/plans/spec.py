@@ -156,10 +156,11 @@ class QuerySpec:
         return self.sort_by or self.order_by
 
     @property
-    def limit(self) -> int:
-        """Series limit (top-N) when set, else the clamped row limit."""
+    def limit(self) -> int | None:
+        """Series limit (top-N) when set, else the row limit asked for; None without either. The constants above
+        are for callers that want a page."""
         series = leading_int(self.series_limit) or 0
         if series > 0 and not self.raw:
             return series
-        rows = leading_int(self.row_limit) or DEFAULT_ROW_LIMIT
-        return min(max(rows, 1), MAX_ROW_LIMIT)
+        rows = leading_int(self.row_limit)
+        return max(rows, 1) if rows else None

@@ -14,7 +14,7 @@ SAMPLE_ROWS = 100
 FIRST_DATA_ROW = 2  # the header is row 1
 # ----------------------------------------------------------------------------
 
-# Splits whose start offsets may be broadcast: about 60 bytes each.
+# Splits whose start offsets may be broadcast: about 100 bytes each.
 BROADCAST_SPLITS = 500_000
 
 
@@ -50,45 +50,53 @@ def text_schema(names: list[str]) -> T.StructType:
 
 def read_headers(spark: SparkSession, path: str, delimiter: str = ",") -> list[str]:
     """Normalised, checked header of a file (one row reaches the driver)."""
-    first = (spark.read.option("header", "false").option("sep", delimiter)
-             .option("quote", '"').option("escape", '"').csv(path).first())
-    return validate_headers(normalize_headers(list(first or ())))
+    return validate_headers(normalize_headers(_first_row(spark, path, delimiter)))
+
+
+def _first_row(spark: SparkSession, path: str, delimiter: str) -> list[str | None]:
+    return list((spark.read.option("header", "false").option("sep", delimiter).option("quote", '"')
+                 .option("escape", '"').csv(path).first()) or ())
 
 
 def read_csv_raw(spark: SparkSession, path: str, delimiter: str = ",", multiline: bool = False,
                  row_numbers: bool = True, base: int = 0) -> DataFrame:
     """Text columns, ``_corrupt_record``, ``_source_file`` and ``_row_number``.
 
-    Cells are trimmed and all-empty rows skipped. Files split at line ends;
+    Cells are trimmed and all-empty rows skipped. Numbers are unique over all files; the source file is its
+    whole path. A file whose header differs from the first one's raises. Files split at line ends;
     ``multiline=True`` allows line breaks inside quotes and then reads each file
     in one task.
     """
-    names = read_headers(spark, path, delimiter)
-    df = (spark.read.options(**csv_options(delimiter, multiline)).schema(text_schema(names)).csv(path))
-    df = df.withColumn(SOURCE_FILE, F.col("_metadata.file_name"))
+    given = _first_row(spark, path, delimiter)
+    names = validate_headers(normalize_headers(given))
+    reader = spark.read.options(**csv_options(delimiter, multiline)).schema(text_schema(names))
+    # Spark compares the header of every file; names that were blank cannot be compared.
+    df = reader.option("enforceSchema", str(given != names).lower()).csv(path)
+    df = df.withColumn(SOURCE_FILE, F.col("_metadata.file_path"))
     if row_numbers:
         df = with_row_number(df, base + FIRST_DATA_ROW - 1)
     return df.filter(F.coalesce(*(F.col(f"`{n}`") for n in names), F.col(CORRUPT)).isNotNull())
 
 
 def with_row_number(df: DataFrame, base: int = 0) -> DataFrame:
-    """Rows of a file scan numbered ``base + 1, ...`` in file order, per source file.
+    """Rows of a file scan numbered ``base + 1, ...`` in the order of files and rows.
 
     Each row knows its place inside its split (the running id minus the split's
-    first id). One count per split gives the offsets, so numbering needs no sort
-    and no single task. The offsets are broadcast only while there are few.
+    first id). One count per split gives the offsets, so numbering needs no sort;
+    the only window is over splits, one row each. Files follow each other by path,
+    so a number is unique over all files of the scan.
     """
     placed = df.select(
-        "*", F.xxhash64("_metadata.file_path").alias("__file"),
-        F.col("_metadata.file_block_start").alias("__start"),
+        "*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__start"),
         F.monotonically_increasing_id().alias("__id"),
     )
     splits = placed.groupBy("__file", "__start").agg(F.min("__id").alias("__first"), F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy("__file").orderBy("__start").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("__file", "__start").rowsBetween(Window.unboundedPreceding, -1)
     offsets = splits.select("__file", "__start", "__first",
                             F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    # every split is a task's share of one file, so this bounds their number without a job
-    few = len(df.inputFiles()) + df.rdd.getNumPartitions() <= BROADCAST_SPLITS
+    # Every split is a task's share of one file, which bounds their number; the file list stays in the JVM.
+    # Left to itself the join would move all rows, as the size of an aggregate is not known in advance.
+    few = len(df._jdf.inputFiles()) + df.rdd.getNumPartitions() <= BROADCAST_SPLITS
     joined = placed.join(F.broadcast(offsets) if few else offsets, ["__file", "__start"])
     number: Column = F.col("__id") - F.col("__first") + F.col("__before") + F.lit(base + 1)
     return joined.select(*df.columns, number.cast("long").alias(ROW_NUMBER))

@@ -11,7 +11,6 @@ RATE_WINDOW = "1 minute"
 RATE_MAX = 1000
 # ----------------------------------------------------------------------------
 
-SALTS = 8
 
 
 def event_time(df: DataFrame, ts: str) -> DataFrame:
@@ -20,12 +19,12 @@ def event_time(df: DataFrame, ts: str) -> DataFrame:
 
 
 def stream_dedupe(df: DataFrame, key: str | list[str], ts: str = "ts", window: str = REPLAY_WINDOW,
-                  salts: int = SALTS) -> DataFrame:
+                  salts: int = 1) -> DataFrame:
     """Drops rows whose key was seen within ``window``; older rows are late and dropped.
 
     State per key is kept only until the watermark has passed it. A key that makes
     up much of the stream is first reduced in ``salts`` places and then once more;
-    ``salts=1`` leaves the first step out.
+    by default a key is reduced in one place at once.
     """
     keys = [key] if isinstance(key, str) else list(key)
     out = event_time(df, ts).withWatermark(ts, window)

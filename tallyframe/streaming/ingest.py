@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import re
+
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from ..operators.columns import ColumnMeta
 from ..operators.validate import ROW_NUMBER, SOURCE_FILE, annotate, clean_part, to_quarantine
 from ..sources.csv import csv_options, text_schema
+from ..sources.store import path_exists
 
 PROGRESS = "ingest_progress"
 
@@ -48,20 +51,32 @@ def stream_ingest(spark: SparkSession, in_dir: str, out_dir: str, schema: list[C
 
     Every micro-batch writes both halves in one pass to a folder named after the
     batch, and overwrites it when the batch is replayed, so a restart neither
-    loses nor repeats rows. Row numbers are unique within a batch.
+    loses nor repeats rows. Row numbers are unique over all batches: each batch counts on from the last number of
+    the batches before it.
     """
     names = [c.name for c in schema]
-    reader = spark.readStream.options(**csv_options(delimiter)).schema(text_schema(names))
+    # Headers are compared unless a name was blank in the file.
+    named = not any(re.fullmatch(r"column_\d+", n) for n in names)
+    reader = spark.readStream.options(**csv_options(delimiter), enforceSchema=str(not named).lower()).schema(text_schema(names))
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    raw = reader.csv(in_dir).withColumn(SOURCE_FILE, F.col("_metadata.file_name"))
+    raw = reader.csv(in_dir).withColumn(SOURCE_FILE, F.col("_metadata.file_path"))
     raw = raw.filter(F.coalesce(*(F.col(f"`{n}`") for n in (*names, "_corrupt_record"))).isNotNull())
     rows = annotate(raw, schema)
     rows = rows.observe(PROGRESS, F.count(F.lit(1)).alias("seen"), F.count_if(F.col("_valid")).alias("valid"))
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        (batch.withColumn(ROW_NUMBER, F.monotonically_increasing_id() + 1)
+        numbers = f"{out_dir}/numbers"
+        last = 0
+        if batch_id and path_exists(batch.sparkSession, numbers):
+            last = (batch.sparkSession.read.schema("last long, batch long").parquet(numbers)
+                    .where(F.col("batch") < batch_id).agg(F.max("last")).first()[0]) or 0
+        seen = Observation(f"numbers {batch_id}")
+        (batch.withColumn(ROW_NUMBER, F.monotonically_increasing_id() + F.lit(last + 1))
+         .observe(seen, F.max(ROW_NUMBER).alias("last"))
          .write.mode("overwrite").partitionBy("_valid").parquet(f"{out_dir}/records/batch={batch_id}"))
+        (batch.sparkSession.range(1).select(F.lit(seen.get["last"] or last).cast("long").alias("last"))
+         .write.mode("overwrite").parquet(f"{numbers}/batch={batch_id}"))
 
     return (rows.writeStream.foreachBatch(store).option("checkpointLocation", f"{out_dir}/_checkpoint")
             .trigger(**(trigger or {"availableNow": True})).start())

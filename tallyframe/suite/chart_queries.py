@@ -182,3 +182,28 @@ def export_log_newest(spark, sf):
     FROM events GROUP BY ALL""")
 def export_log_sweep(spark, sf):
     return sweep_stale(_log(spark, sf)).groupBy("dataset", "status", "failure_reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("histogram_wide", """
+    SELECT 'value' AS measure, floor(v / 1000)::BIGINT - (SELECT floor(min(w) / 1000) FROM (SELECT value * 1e9 AS w FROM events))::BIGINT AS bin,
+           floor(v / 1000) * 1000 AS bin_start, (floor(v / 1000) + 1) * 1000 AS bin_end, count(*) AS count
+    FROM (SELECT value * 1e9 + 0.5 AS v FROM events) GROUP BY ALL""")
+def histogram_wide(spark, sf):
+    """Narrow bins over a wide range: only bins with values are made."""
+    df = load(spark, sf, "events").select((F.col("value") * 1e9 + 0.5).alias("value"))
+    return histogram(df, ["value"], 1000, empty=False)
+
+
+@query("chart_raw_line", """
+    SELECT 'o_totalprice' AS measure, (o_orderkey % 2)::DOUBLE AS x, round(avg(o_totalprice), 4) AS y FROM orders GROUP BY ALL""")
+def chart_raw_line(spark, sf):
+    """A RAW line is averaged over all rows."""
+    df = load(spark, sf, "orders").withColumn("half", F.col("o_orderkey") % 2)
+    return rounded(run_chart(df, {"type": "line", "query": {
+        "dimensions": ["half"], "measures": [{"field": "o_totalprice", "aggregation": "RAW"}]}}), 4, "y")
+
+
+@query("chart_scatter", "SELECT l_quantity, l_extendedprice FROM lineitem WHERE l_quantity > 10")
+def chart_scatter(spark, sf):
+    return run_chart(load(spark, sf, "lineitem"), {"type": "scatter", "query": {
+        "measures": ["l_quantity", "l_extendedprice"], "filters": [{"field": "l_quantity", "operator": ">", "value": 10}]}})

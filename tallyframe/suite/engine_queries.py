@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..plans.query import preview, run_query
-from ..plans.spec import MAX_ROW_LIMIT
 from .registry import load, query, rounded
 
 
@@ -95,8 +94,7 @@ def _bucket(unit, timezone="UTC"):
     def run(spark, sf):
         return rounded(run_query(load(spark, sf, "events"), {
             "dimensions": [{"field": "ts", "timeBucket": unit, "timezone": timezone}],
-            "measures": [{"field": "*", "label": "n"}, {"field": "value", "label": "total"}],
-            "rowLimit": MAX_ROW_LIMIT}))
+            "measures": [{"field": "*", "label": "n"}, {"field": "value", "label": "total"}]}))
     return run
 
 
@@ -153,7 +151,7 @@ def global_empty(spark, sf):
 
 @query("sum_without_numbers", """
     SELECT c_nationkey, 0.0::DOUBLE AS names, NULL::DOUBLE AS mean,
-           coalesce(sum(CASE WHEN c_acctbal < 0 THEN c_custkey END), 0)::BIGINT AS in_debt
+           coalesce(sum(CASE WHEN c_acctbal < 0 THEN c_custkey END), 0)::DOUBLE AS in_debt
     FROM customer GROUP BY 1""")
 def sum_without_numbers(spark, sf):
     df = load(spark, sf, "customer").withColumn("debtor", F.when(F.col("c_acctbal") < 0, F.col("c_custkey")))
@@ -163,7 +161,7 @@ def sum_without_numbers(spark, sf):
         {"field": "debtor", "aggregation": "RAW", "label": "in_debt"}]})
 
 
-@query("raw_projection", "SELECT c_name, c_mktsegment, c_acctbal FROM customer WHERE c_acctbal > 0 LIMIT 50000")
+@query("raw_projection", "SELECT c_name, c_mktsegment, c_acctbal FROM customer WHERE c_acctbal > 0")
 def raw_projection(spark, sf):
     return run_query(load(spark, sf, "customer"), {
         "dimensions": ["c_name", "c_mktsegment"], "measures": ["c_acctbal", {"field": "*"}], "raw": True,
@@ -216,3 +214,49 @@ def label_collision(spark, sf):
 def page_preview(spark, sf):
     df = load(spark, sf, "orders").select(F.col("o_orderkey").alias("_row_number"), "o_orderstatus", "o_totalprice")
     return preview(df, 25, 100)
+
+
+@query("group_many", """
+    SELECT o_orderkey, count(*) AS n, round(max(o_totalprice), 2) AS most FROM orders GROUP BY 1""")
+def group_many(spark, sf):
+    """As many groups as rows: nothing is cut without a limit."""
+    return rounded(run_query(load(spark, sf, "orders"), {
+        "dimensions": ["o_orderkey"],
+        "measures": [{"field": "*", "label": "n"}, {"field": "o_totalprice", "aggregation": "MAX", "label": "most"}]}))
+
+
+@query("filter_beyond_range", """
+    SELECT count(*) AS n FROM events WHERE event_id < 99999999999999999999::HUGEINT
+    AND user_id NOT IN (5) AND event_id > -99999999999999999999::HUGEINT""")
+def filter_beyond_range(spark, sf):
+    return run_query(load(spark, sf, "events"), {"measures": [{"field": "*", "label": "n"}], "filters": [
+        {"field": "event_id", "operator": "<", "value": "99999999999999999999"},
+        {"field": "user_id", "operator": "NOT IN", "value": [5, 10**30]},
+        {"field": "event_id", "operator": ">", "value": -99999999999999999999}]})
+
+
+@query("sum_beyond_long", """
+    SELECT event_type, sum((event_id + 4000000000000000000)::HUGEINT)::DOUBLE AS total FROM events GROUP BY 1""")
+def sum_beyond_long(spark, sf):
+    df = load(spark, sf, "events").withColumn("big", F.col("event_id") + 4_000_000_000_000_000_000)
+    return run_query(df, {"dimensions": ["event_type"], "measures": [{"field": "big", "label": "total"}]})
+
+
+@query("bucket_clock_change", """
+    SELECT CAST(to_timestamp(floor(epoch(ts) / 3600) * 3600) AT TIME ZONE 'UTC' AS TIMESTAMP) AS ts, count(*) AS n
+    FROM (SELECT TIMESTAMP '2024-11-03 00:00:00' + to_minutes((event_id % 1440)::INTEGER) AS ts FROM events) GROUP BY 1""")
+def bucket_clock_change(spark, sf):
+    """Hours of a day on which the clock goes back: the repeated hour is two hours."""
+    df = load(spark, sf, "events").select((F.lit("2024-11-03 00:00:00").cast("timestamp_ntz") + F.make_interval(
+        mins=(F.col("event_id") % 1440).cast("int"))).alias("ts"))
+    return run_query(df, {"dimensions": [{"field": "ts", "timeBucket": "hour", "timezone": "America/New_York"}],
+                          "measures": [{"field": "*", "label": "n"}]})
+
+
+@query("contribution_all", """
+    WITH g AS (SELECT o_custkey, sum(o_totalprice) AS total FROM orders GROUP BY 1)
+    SELECT o_custkey, round(total / sum(total) OVER () * 100, 2) AS total FROM g""")
+def contribution_all(spark, sf):
+    """Percent of the total of all groups."""
+    return run_query(load(spark, sf, "orders"), {"dimensions": ["o_custkey"], "contributionMode": "row",
+                                                 "measures": [{"field": "o_totalprice", "label": "total"}]})

@@ -12,7 +12,7 @@ from ..operators.quarantine import restore_into
 from ..operators.validate import split_structural
 from ..session import scratch_dir
 from ..sources.csv import read_csv_raw, sample_rows
-from ..sources.store import Store
+from ..sources.store import AppendRefused, Store
 from ..streaming.events import latest_counts, rate_counts, rate_flags, read_batches, stream_dedupe, write_batches
 from ..streaming.ingest import read_ingested, stream_ingest
 from .quarantine_queries import EVENT_SCHEMA, raw_events
@@ -109,12 +109,83 @@ def export_dataset_csv(spark, sf):
 
 @query("csv_row_numbers", "SELECT count(*) AS row_count, count(*) AS numbered, 0::BIGINT AS gaps FROM orders")
 def csv_row_numbers(spark, sf):
-    """Dense numbers from 2 in every file."""
-    rows = read_csv_raw(spark, orders_csv(spark, sf)).groupBy("_source_file").agg(
-        F.count(F.lit(1)).alias("n"), F.countDistinct("_row_number").alias("d"), F.min("_row_number").alias("lo"),
-        F.max("_row_number").alias("hi"))
-    return rows.agg(F.sum("n").alias("row_count"), F.sum("d").alias("numbered"),
-                    F.sum(F.col("hi") - 1 - F.col("n") + F.col("lo") - 2).alias("gaps"))
+    """Dense numbers from 2, unique over all files."""
+    path = scratch_dir(spark, "orders-csv")
+    load(spark, sf, "orders").repartition(3).write.option("header", "true").csv(path)
+    return read_csv_raw(spark, path).agg(
+        F.count(F.lit(1)).alias("row_count"), F.countDistinct("_row_number").alias("numbered"),
+        (F.max("_row_number") - 1 - F.count(F.lit(1)) + F.min("_row_number") - 2).alias("gaps"))
+
+
+@query("ingest_two_files_restore", """
+    SELECT 'CLEAN' AS status, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders
+    UNION ALL SELECT 'RESTORED', count(*) FILTER (o_orderkey % 7 = 3), 0 FROM orders""")
+def ingest_two_files_restore(spark, sf):
+    """Rows of several files lost their price, and get it back by edits found through the quarantine."""
+    path = scratch_dir(spark, "orders-csv")
+    orders = load(spark, sf, "orders")
+    bad = F.when(F.col("o_orderkey") % 7 == 3, F.lit(None)).otherwise(F.col("o_totalprice"))
+    orders.withColumn("o_totalprice", bad).repartition(3).write.option("header", "true").csv(path)
+    store = Store(spark, scratch_dir(spark, "store"))
+    store.write_dataset("orders", read_csv_raw(spark, path), ORDER_SCHEMA)
+    price = orders.select(F.col("o_orderkey").cast("string").alias("key"), F.col("o_totalprice").cast("string").alias("price"))
+    edits = store.load_quarantine("orders").join(price, F.col("raw")["o_orderkey"] == F.col("key")).select(
+        "row_number", F.create_map(F.lit("o_totalprice"), F.col("price")).alias("data"))
+    restore_into(store, "orders", edits)
+    left = store.load_quarantine("orders").groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.lit(0.0).alias("total"))
+    clean = store.load_dataset("orders").agg(F.lit("CLEAN").alias("status"), F.count(F.lit(1)).alias("n"),
+                                             F.round(F.sum("o_totalprice"), 2).alias("total"))
+    return clean.union(left)
+
+
+@query("ingest_append_refused", """
+    SELECT 'missing' AS what, 'o_totalprice' AS name, count(*) AS row_count FROM orders
+    UNION ALL SELECT 'unexpected', 'price', count(*) FROM orders""")
+def ingest_append_refused(spark, sf):
+    """An append with another column is refused and leaves the stored rows as they were."""
+    store = Store(spark, scratch_dir(spark, "store"))
+    raw = read_csv_raw(spark, orders_csv(spark, sf))
+    store.write_dataset("orders", raw, ORDER_SCHEMA)
+    try:
+        store.write_dataset("orders", raw.withColumnRenamed("o_totalprice", "price"), mode="append")
+        found = {}
+    except AppendRefused as e:
+        found = e.comparison
+    parts = [store.load_dataset("orders").agg(F.lit(what).alias("what"), F.lit(name).alias("name"), F.count(F.lit(1)).alias("row_count"))
+             for what, key in (("missing", "missing_columns"), ("unexpected", "unexpected_columns")) for name in found.get(key, ())]
+    return parts[0].union(parts[1])
+
+
+@query("ingest_append_repeated", "SELECT 2 * count(*) AS row_count, round(2 * sum(o_totalprice), 2) AS total FROM orders")
+def ingest_append_repeated(spark, sf):
+    """The same load twice counts once."""
+    store = Store(spark, scratch_dir(spark, "store"))
+    raw = read_csv_raw(spark, orders_csv(spark, sf))
+    store.write_dataset("orders", raw, ORDER_SCHEMA)
+    for _ in range(2):
+        store.write_dataset("orders", raw, mode="append", load_id="second")
+    return rounded(store.load_dataset("orders").agg(F.count(F.lit(1)).alias("row_count"), F.sum("o_totalprice").alias("total")))
+
+
+@query("ingest_override", """
+    SELECT o_orderkey, o_totalprice::BIGINT - CASE WHEN o_totalprice::BIGINT > o_totalprice THEN 1 ELSE 0 END AS o_totalprice FROM orders""")
+def ingest_override(spark, sf):
+    """A stored number column shown as whole numbers."""
+    store = Store(spark, scratch_dir(spark, "store"))
+    store.write_dataset("orders", read_csv_raw(spark, orders_csv(spark, sf)), ORDER_SCHEMA)
+    store.set_columns("orders", [ColumnMeta(c.name, "integer") if c.name == "o_totalprice" else c for c in ORDER_SCHEMA])
+    return store.load_dataset("orders").select("o_orderkey", "o_totalprice")
+
+
+@query("stream_two_batches", "SELECT count(*) AS row_count, count(*) AS numbered, round(sum(o_totalprice), 2) AS total FROM orders")
+def stream_two_batches(spark, sf):
+    """Files that arrive in many micro-batches: every row has a number of its own."""
+    path, out = scratch_dir(spark, "orders-csv"), scratch_dir(spark, "stream")
+    load(spark, sf, "orders").repartition(3).write.option("header", "true").csv(path)
+    stream_ingest(spark, path, out, ORDER_SCHEMA, max_files=1).awaitTermination()
+    clean, _ = read_ingested(spark, out)
+    return rounded(clean.agg(F.count(F.lit(1)).alias("row_count"), F.countDistinct("_row_number").alias("numbered"),
+                             F.sum("o_totalprice").alias("total")))
 
 
 @query("csv_structural", """
@@ -182,9 +253,9 @@ def backfill_defaults_events(spark, sf):
 
 # --- catalog lists ---------------------------------------------------------------
 
-@query("list_datasets", "SELECT event_id, ts AS created_at FROM events ORDER BY ts DESC LIMIT 500")
+@query("list_datasets", "SELECT event_id, ts AS created_at FROM events ORDER BY ts DESC, event_id LIMIT 5000")
 def list_datasets_newest(spark, sf):
-    return list_datasets(load(spark, sf, "events").select("event_id", F.col("ts").alias("created_at")), 5000)
+    return list_datasets(load(spark, sf, "events").select("event_id", F.col("ts").alias("created_at")), 5000, id="event_id")
 
 
 @query("search_datasets", """
@@ -210,11 +281,11 @@ def visible_documents(spark, sf):
 
 
 @query("list_charts", """
-    SELECT event_id, total FROM (SELECT event_id, ts FROM events WHERE event_type = 'click' ORDER BY ts DESC LIMIT 30 OFFSET 60),
+    SELECT event_id, total FROM (SELECT event_id, ts FROM events WHERE event_type = 'click' ORDER BY ts DESC, event_id LIMIT 30 OFFSET 60),
            (SELECT count(*) AS total FROM events WHERE event_type = 'click')""")
 def list_charts_page(spark, sf):
     charts = load(spark, sf, "events").select("event_id", F.col("event_type").alias("dataset"), F.col("ts").alias("updated_at"))
-    page, total = list_charts(charts, "click", 30, 60)
+    page, total = list_charts(charts, "click", 30, 60, id="event_id")
     return page.select("event_id", total.scalar().alias("total"))
 
 

@@ -30,7 +30,7 @@ def _profile_sql(table, columns):
 
 def _profile(table, columns):
     def run(spark, sf):
-        return rounded(profile(load(spark, sf, table, spread=True).select(*columns), exact=True), 6)
+        return rounded(profile(load(spark, sf, table).select(*columns), exact=True), 6)
     return run
 
 
@@ -105,7 +105,7 @@ def schema_compact(spark, sf):
 @query("profile_long_texts", """
     SELECT 'text' AS "column", count(*) AS row_count, count(DISTINCT text) AS unique_count, count(*) AS string_values FROM documents""")
 def profile_long_texts(spark, sf):
-    df = load(spark, sf, "documents", spread=True).select("text")
+    df = load(spark, sf, "documents").select("text")
     return profile(df, exact=True).select("column", "row_count", "unique_count", "string_values")
 
 
@@ -225,3 +225,14 @@ def edges_of_with_names(spark, sf):
     catalog = load(spark, sf, "orders").agg(F.count(F.lit(1)).alias("n")).select(
         F.lit("orders").alias("dataset"), F.concat(F.lit("Orders "), "n").alias("name"))
     return edges_with_names(edges_of(_detected(spark, sf), "orders"), catalog)
+
+
+@query("value_overlap_mixed_types", """
+    SELECT count(*) AS shared, (SELECT count(DISTINCT o_custkey) FROM orders) AS a_values, (SELECT count(*) FROM customer) AS b_values,
+           count(*) / least((SELECT count(DISTINCT o_custkey) FROM orders), (SELECT count(*) FROM customer)) AS overlap
+    FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)""")
+def value_overlap_mixed_types(spark, sf):
+    """Whole numbers as doubles meet the same numbers as text."""
+    a = load(spark, sf, "orders").select(F.col("o_custkey").cast("double").alias("k"))
+    b = load(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("k"))
+    return value_overlap(a, "k", b, "k")

@@ -50,8 +50,9 @@ def test_histogram_files(spark, tmp_path):
 def test_spec_from_export():
     legacy = spec_from_export({"selectedDimensions": ["a"], "selectedMeasures": ["b"], "filters": {"c": 1},
                                "dashboardFilters": [{"field": "d", "operator": ">", "value": 2}], "rowLimit": 10**6})
+    assert spec_from_export({"selectedDimensions": ["a"]}).limit is None
     assert [d.field for d in legacy.dimensions] == ["a"] and legacy.measures[0].output == "b"
-    assert [f.field for f in legacy.filters] == ["c", "d"] and legacy.limit == 50_000
+    assert [f.field for f in legacy.filters] == ["c", "d"] and legacy.limit == 10**6
     assert spec_from_export({"query": {"rowLimit": "20"}}).limit == 20
 
 

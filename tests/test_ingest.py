@@ -14,7 +14,7 @@ from tallyframe.sources import csv as csv_source
 from tallyframe.sources.csv import (
     compare_append_columns, normalize_headers, peek, read_csv_raw, sample_rows, unique_row_id, validate_headers,
 )
-from tallyframe.sources.store import Store
+from tallyframe.sources.store import AppendRefused, Store
 from tallyframe.streaming.events import rate_counts, rate_flags, read_batches, stream_dedupe, write_batches
 from tallyframe.streaming.ingest import PROGRESS, IngestProgress, read_ingested, stream_ingest
 
@@ -57,23 +57,82 @@ def test_read_csv(spark, csv_file):
     assert len(good.collect()) == 3 and len(bad.collect()) == 2
 
 
-def test_row_numbers_over_many_splits(spark, tmp_path, monkeypatch):
+@pytest.mark.parametrize("few", [500_000, 0])  # offsets broadcast, and joined by shuffle
+def test_row_numbers_over_many_splits(spark, tmp_path, monkeypatch, few):
+    monkeypatch.setattr(csv_source, "BROADCAST_SPLITS", few)
     lines = ["k,v"] + [f"{i},{'x' * 200}" for i in range(3000)]
     for name in ("a.csv", "b.csv"):
         (tmp_path / name).write_text("\n".join(lines) + "\n")
     old = spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", 100_000)
     try:
-        for few in (500_000, 0):  # offsets broadcast, and joined by shuffle
-            monkeypatch.setattr(csv_source, "BROADCAST_SPLITS", few)
-            df = read_csv_raw(spark, str(tmp_path))
-            assert df.rdd.getNumPartitions() > 1
-            assert df.filter(F.col("_row_number") != F.col("k").cast("long") + 2).isEmpty()
-            assert df.groupBy("_source_file").count().count() == 2 and df.select("k").collect().__len__() == 6000
+        df = read_csv_raw(spark, str(tmp_path))
+        assert df.rdd.getNumPartitions() > 1
+        before = F.when(F.col("_source_file").endswith("b.csv"), 3000).otherwise(0)
+        assert df.filter(F.col("_row_number") != before + F.col("k").cast("long") + 2).isEmpty()
+        assert df.groupBy("_source_file").count().count() == 2 and df.select("k").collect().__len__() == 6000
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
 
 
+def test_restore_from_one_of_many_files(spark, tmp_path):
+    """Row numbers are unique over files, so the edited row alone is restored."""
+    for name, bad in (("a.csv", "3"), ("b.csv", "-3")):
+        (tmp_path / name).write_text(f"sku,price\nx,1\ny,{bad}\n")
+    store = Store(spark, str(tmp_path / "store"))
+    schema = [ColumnMeta("sku"), ColumnMeta("price", "number")]
+    store.write_dataset("d", read_csv_raw(spark, str(tmp_path / "*.csv")), schema)
+    number = store.load_quarantine("d").first()["row_number"]
+    edits = spark.createDataFrame([(number, {"price": "9"}), (number, {"price": "8"})], "row_number long, data map<string,string>")
+    done = restore_into(store, "d", edits)
+    assert done == {"restored_count": 1, "failed_count": 0, "row_count": 4, "quarantined_count": 0}
+    assert sorted(r["price"] for r in store.load_dataset("d").collect()) == [1.0, 1.0, 3.0, 9.0]
+
+
+def test_files_must_share_a_header(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("sku,price\nx,1\n")
+    (tmp_path / "b.csv").write_text("price,sku\n1,x\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        read_csv_raw(spark, str(tmp_path)).collect()
+
+
+def test_appends_are_compared_and_repeatable(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    schema = [ColumnMeta("sku"), ColumnMeta("price", "number")]
+    one = spark.createDataFrame([("x", "1", 2)], "sku string, price string, _row_number long")
+    store.write_dataset("d", one, schema)
+    with pytest.raises(AppendRefused) as refused:
+        store.write_dataset("d", one.withColumnRenamed("price", "colour"), mode="append")
+    assert refused.value.comparison["missing_columns"] == ["price"]
+    for _ in range(2):
+        report = store.write_dataset("d", one, mode="append", load_id="monday")
+        assert (report.rows_seen, report.rows_valid) == (1, 1)
+    assert store.load_dataset("d").count() == store.entry("d")["row_count"] == 2
+    # A load that died before its catalog entry is not seen, and its repetition takes its place.
+    log = store.update_catalog
+    store.update_catalog = lambda *a, **k: (_ for _ in ()).throw(RuntimeError("lost"))
+    with pytest.raises(RuntimeError):
+        store.write_dataset("d", one, mode="append", load_id="tuesday")
+    store.update_catalog = log
+    assert store.load_dataset("d").count() == 2
+    store.write_dataset("d", one, mode="append", load_id="tuesday")
+    assert sorted(r["_row_number"] for r in store.load_dataset("d").collect()) == [2, 4, 6]
+    absent = store.write_dataset("e", one.drop("price"), schema)
+    assert absent.rows_valid == 0  # a required column the frame does not have
+
+
+def test_stored_types_after_an_override(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    rows = spark.createDataFrame([("x", "1.5", 2), ("y", "7", 3)], "sku string, size string, _row_number long")
+    store.write_dataset("d", rows, [ColumnMeta("sku"), ColumnMeta("size", "number")])
+    for kind, want in (("string", ["1.5", "7.0"]), ("integer", [1, 7]), ("number", [1.5, 7.0])):
+        store.set_columns("d", [ColumnMeta("sku"), ColumnMeta("size", kind)])
+        assert sorted(r["size"] for r in store.load_dataset("d").collect()) == want
+    store.set_columns("d", [ColumnMeta("sku"), ColumnMeta("size", "string")])
+    store.write_dataset("d", rows, mode="append")
+    assert store.records("d").count() == 4  # of both loads, whatever their stored types
+
+
 def test_multiline(spark, tmp_path):
     path = tmp_path / "m.csv"
     path.write_text('a,b\n"x\ny",1\nz,2\n')
@@ -177,6 +236,8 @@ def test_stream_ingest_equals_batch(spark, tmp_path):
     q = stream_ingest(spark, str(src), out, SCHEMA)
     q.awaitTermination()
     clean, bad = read_ingested(spark, out, "d")
+    numbers = [r["_row_number"] for r in clean.collect()] + [r["row_number"] for r in bad.collect()]
+    assert len(set(numbers)) == len(numbers) == 6
     assert sorted(r["Name"] for r in clean.collect()) == ["Bo b long", "Late", "Ok"] and bad.count() == 3
     seen = [p["observedMetrics"].get(PROGRESS) for p in q.recentProgress]
     assert sum(m["seen"] for m in seen if m) == 1
