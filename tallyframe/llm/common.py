@@ -28,20 +28,20 @@ def documents(df: DataFrame) -> DataFrame:
     return columns(df, doc_id="bigint", text="string").withColumn("text", F.coalesce("text", F.lit("")))
 
 
-def by_batch(df: DataFrame, build: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str) -> DataFrame:
-    """``mapInArrow`` whose per-task state is made by ``build`` once in each task."""
+def by_batch(df: DataFrame, build: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str,
+             size: int = 12 << 20) -> DataFrame:
+    """``mapInArrow`` whose per-task state is made by ``build`` once in each task; it gets about ``size`` bytes at a time."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = build()
         for batch in batches:
-            # One batch of Spark may hold very long texts: hand on at most some megabytes at a time.
-            for part in slices(batch):
+            for part in slices(batch, size):
                 out = step(part)
                 if out is not None:
                     yield out
     return df.mapInArrow(run, schema)
 
 
-def slices(batch: pa.RecordBatch, rows: int = 8192, size: int = 12 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, size: int, rows: int = 8192) -> Iterator[pa.RecordBatch]:
     if batch.num_rows == 0:
         return
     step = max(1, min(rows, int(batch.num_rows * size / max(batch.get_total_buffer_size(), 1))))

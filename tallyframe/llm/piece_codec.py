@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from .common import ChunkTable, by_batch, documents, shared
 
 MARK = "▁"
+#: Bytes of text taken at a time: their ids are Python numbers for a while.
+BATCH = 4 << 20
 SPACED = re.compile(b" *[^ ]*")
 
 
@@ -80,7 +82,7 @@ def encode_decode(docs: DataFrame, model_path: str) -> DataFrame:
             return pa.record_batch([batch.column("doc_id"), pa.array([r[0] for r in rows], pa.list_(pa.int32())),
                                     pa.array([r[2]() for r in rows], pa.string())], ["doc_id", "ids", "decoded"])
         return run
-    return by_batch(documents(docs), build, "doc_id long, ids array<int>, decoded string")
+    return by_batch(documents(docs), build, "doc_id long, ids array<int>, decoded string", BATCH)
 
 
 def tokens(docs: DataFrame, model_path: str, ids: bool = True) -> DataFrame:
@@ -98,7 +100,7 @@ def tokens(docs: DataFrame, model_path: str, ids: bool = True) -> DataFrame:
                                     pa.array(a), pa.array(b)], ["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"])
         return run
     rows = by_batch(documents(docs), build,
-                    "doc_id long, n_tokens long, ids array<int>, ids_sha256 string, decoded_sha256 string")
+                    "doc_id long, n_tokens long, ids array<int>, ids_sha256 string, decoded_sha256 string", BATCH)
     return rows if ids else rows.drop("ids")
 
 
@@ -112,7 +114,7 @@ class _Step:
 
     def __init__(self, path: str):
         self.sp, encode = word_encoder(path)
-        self.table = ChunkTable(encode)
+        self.table = ChunkTable(encode, limit=24 << 20)
         self.decimal = [b"%d" % i for i in range(self.sp.get_piece_size())]
 
     def __call__(self, batch: pa.RecordBatch):
