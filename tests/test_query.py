@@ -59,7 +59,7 @@ def test_coercion():
 def test_filters_are_pushed_into_the_scan(spark):
     orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
     plan = explain_spec(orders, {"dimensions": ["o_orderstatus"], "measures": ["o_totalprice"], "filters": [
-        {"field": "o_custkey", "operator": ">", "value": "7.5"}, {"field": "o_orderpriority", "operator": "!=", "value": "x"}]})
+        {"field": "o_custkey", "operator": ">", "value": "7.5"}, {"field": "o_orderpriority", "operator": "!=", "value": "x"}], "rowLimit": 10_000})
     assert "GreaterThanOrEqual(o_custkey,8)" in plan
     assert "o_orderdate" not in plan.split("ReadSchema:")[1].split("\n")[0]
     assert "TakeOrderedAndProject" in plan
