@@ -87,7 +87,7 @@ def value_types(spark, sf):
     UNION ALL SELECT 'event_type', 'string', 'dimension', NULL, count(DISTINCT event_type) FROM events""")
 def infer_schema_all_rows(spark, sf):
     df = load(spark, sf, "events").select("event_id", "ts", F.col("value").alias("total_value"), "event_type")
-    return profile_frame(spark, "events", infer_schema(df, sample=None)).select(
+    return profile_frame(spark, "events", infer_schema(df, exact=True)).select(
         "name", "dtype", "role", "suggested_aggregation", "unique_count")
 
 
