@@ -210,3 +210,21 @@ def test_reordered_passages_and_odd_rows(spark, odd, nothing):
     assert decontaminate.leaks(odd, items).count() == 0
     assert decontaminate.without_leaks(odd, items).count() == odd.count()
     assert decontaminate.leaks(nothing, items).count() == decontaminate.leaks(docs, items.limit(0)).count() == 0
+
+
+def near_copies_found(spark, texts, copies):
+    """The part of ``copies`` that goes; nothing else may go."""
+    docs = spark.createDataFrame(list(enumerate(texts + copies)), "doc_id long, text string").repartition(4)
+    gone = {r.doc_id for r in line_dedup.report(docs).collect() if r.n_removed}
+    assert gone <= set(range(len(texts), len(texts) + len(copies)))
+    return len(gone) / len(copies)
+
+
+def test_lines_with_a_long_shared_opening(spark):
+    """Hundreds of lines in one band: similar ones meet, whatever the band's ends are."""
+    rng = np.random.default_rng(3)
+    words = lambda n: " ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), int(rng.integers(3, 10)))) for _ in range(n))
+    opening = words(42)
+    texts = [f"{opening} {words(8)}" for _ in range(300)]
+    copies = [t[:-2] + "#" + t[-1] for t in texts[:100]]
+    assert near_copies_found(spark, texts, copies) >= 0.98
