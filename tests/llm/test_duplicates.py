@@ -228,3 +228,12 @@ def test_lines_with_a_long_shared_opening(spark):
     texts = [f"{opening} {words(8)}" for _ in range(300)]
     copies = [t[:-2] + "#" + t[-1] for t in texts[:100]]
     assert near_copies_found(spark, texts, copies) >= 0.98
+
+
+def test_lines_without_spaces(spark):
+    rng = np.random.default_rng(4)
+    texts = ["".join(map(chr, rng.integers(0x4E00, 0x5A00, 80))) for _ in range(150)]
+    edited = [t[:k] + "新" + t[k + 1:] for t, k in zip(texts, rng.integers(0, 80, 150))]
+    assert near_copies_found(spark, texts, ["新" + t for t in texts] + edited) >= 0.98
+    short = [t[:9] for t in texts]
+    assert near_copies_found(spark, short, [t + "新" for t in short]) >= 0.98
