@@ -236,11 +236,11 @@ def _log_sum(x: np.ndarray) -> np.ndarray:
 
 
 def train(docs: DataFrame, most: int = TRAIN_DOCUMENTS) -> Field:
-    """The field, from about ``most`` documents that have variables, chosen by a hash of the text; all of
-    them if there are fewer. Only their hashed features pass through the driver."""
+    """The field, from at most ``most`` distinct texts that have variables, those of the least hashes. Only their
+    hashed features pass through the driver."""
     some = documents(docs).where(F.col("text").rlike("[0-9@]")).withColumn("h", F.xxhash64("text"))
-    count = some.count()
-    sample = some.where(F.pmod("h", F.lit(max(1, -(-count // most)))) == 0)
+    last = some.select("h").distinct().orderBy("h").limit(most).agg(F.max("h")).first()[0]
+    sample = some.where(F.col("h") <= F.lit(last).cast("long")).dropDuplicates(["h"])
 
     def build():
         def run(batch):

@@ -156,3 +156,12 @@ def test_templates():
     a = licenses.compile_template("x", "b", "a [b [c]] (d|e f) {2} g")
     for text, end in (("a d z g", 4), ("a b c e f z z g", 8), ("a b d z z z g", None), ("a c d z g", None), ("a d g", None)):
         assert a.match([w.encode() for w in text.split()], 0) == end
+
+
+def test_field_learns_from_distinct_texts(spark, monkeypatch):
+    texts = ["call +1 555 123 4567"] * 30 + [f"a{i}@b.example is one" for i in range(20)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(personal_data.Field, "fit", staticmethod(lambda samples, steps=0: samples))
+    for most, want in ((5, 5), (100, 21)):
+        assert len(personal_data.train(docs, most)) == want
+    assert sum("555" in s[3] for s in personal_data.train(docs, 100)) == 1
