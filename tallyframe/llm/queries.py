@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import decontaminate, licenses, line_dedup, page_text, personal_data, piece_codec, quality_model, quality_rules, simhash, token_files
+from . import decontaminate, licenses, line_dedup, page_text, personal_data, piece_codec, quality_model, quality_rules, simhash, source_mix, token_alignment, \
+    token_files, whitening
 from .common import load, scratch_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,6 +79,22 @@ def op10_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.classify(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
 
+@query
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    return token_alignment.Alignment(docs, tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model")).documents()
+
+
+@query
+def op12_cholesky_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(load(spark, sf_dir, "embeddings"), top=32)
+
+
+@query
+def op13_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mix.Mix(load(spark, sf_dir, "documents")).taken()
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
