@@ -19,10 +19,11 @@ from .common import columns, written
 
 BLOCK = 128          # words of a block
 SHARD = 1 << 16      # slots of an output shard
+RUN = 1 << 12        # slots that are computed together
 EPOCHS = 3           # times a source may be taken
 WEIGHTS = (1, 2, 3)  # of the sources in order, repeating
 ROUNDS = 48          # of a permutation
-BUCKET = 100_000     # documents whose places one task counts
+BUCKET = 5_000       # documents whose places are counted together
 CELLS = 1024         # of the quota line, to find a slot's source
 SEED = 13
 
@@ -99,10 +100,16 @@ def shard_counts(quota: DataFrame, total: int, shard: int = SHARD) -> DataFrame:
     return counts.withColumn("first", F.coalesce(first, F.lit(0)))
 
 
-def slots(counts: DataFrame, quota: DataFrame) -> DataFrame:
-    """``shard, source_no, k, block``: the block every slot of the mix holds; ``k`` counts a source's slots."""
+def slots(counts: DataFrame, quota: DataFrame, total: int) -> DataFrame:
+    """``shard, source_no, k, block``: the block every slot of the mix holds; ``k`` counts a source's slots.
+
+    Counts are few rows that stand for many slots, so they are cut into runs of slots and dealt out first.
+    """
     rows = counts.join(quota.select("source_no", "blocks"), "source_no")
-    rows = rows.select("shard", "source_no", "blocks", F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)).alias("k"))
+    cut = F.explode(F.sequence("first", F.col("first") + F.col("n") - 1, F.lit(RUN).cast("long")))
+    rows = rows.withColumn("from", cut).withColumn("to", F.least(F.col("from") + RUN, F.col("first") + F.col("n")) - 1)
+    rows = rows.repartition(max(1, -(-total // SHARD)), "source_no", "from")
+    rows = rows.select("shard", "source_no", "blocks", F.explode(F.sequence("from", "to")).alias("k"))
     place, epoch = F.col("k") % F.col("blocks"), F.floor(F.col("k") / F.col("blocks"))
     return rows.select("shard", "source_no", "k", permuted(place, F.col("blocks"), F.col("source_no"), epoch).alias("block"))
 
@@ -143,7 +150,7 @@ class Mix:
         rows = packed(rows).withColumn("copy", copy).withColumn("start", F.col("start") + F.col("copy") * F.col("size"))
         self.documents = written(rows.select("doc_id", "source_no", "start", "size", "source_size", "target"), "mix-documents")
         total = self.sources.agg(F.coalesce(F.sum("slots"), F.lit(0)).alias("n")).first().n
-        self.slots = slots(written(shard_counts(self.sources, total, shard), "mix-counts"), self.sources)
+        self.slots = slots(written(shard_counts(self.sources, total, shard), "mix-counts"), self.sources, total)
 
     def pieces(self) -> DataFrame:
         """``source_no, block, start, words``: the part of every document that lies in a block."""
