@@ -27,7 +27,8 @@ def search_datasets(catalog: DataFrame, term: str = "", sort: str = "created_at"
     hit = F.lit(False)
     for f in fields:
         hit = hit | F.coalesce(F.lower(F.col(f)).contains(term.lower()), F.lit(False))
-    return catalog.filter(hit).orderBy(F.asc(sort) if order == "asc" else F.desc(sort))
+    ties = [f for f in ("dataset", *fields) if f in catalog.columns and f != sort]
+    return catalog.filter(hit).orderBy(F.asc(sort) if order == "asc" else F.desc(sort), *ties[:1])
 
 
 def visible_to(df: DataFrame, user: str | None, role: str | None, status: str = "status",

@@ -175,8 +175,9 @@ def validate_export(request: dict | None) -> bool:
 # --- export log --------------------------------------------------------------
 
 def export_log(log: DataFrame, value: str, key: str = "dataset", n: int = LOG_ROWS) -> DataFrame:
-    """Newest exports of one dataset or dashboard."""
-    return log.filter(F.col(key) == value).orderBy(F.desc("exported_at")).limit(n)
+    """Newest exports of one dataset or dashboard; equal times follow the other columns."""
+    simple = [f.name for f in log.schema.fields if isinstance(f.dataType, T.AtomicType) and f.name not in ("exported_at", key)]
+    return log.filter(F.col(key) == value).orderBy(F.desc("exported_at"), *(F.col(f"`{c}`") for c in simple)).limit(n)
 
 
 def sweep_stale(log: DataFrame) -> DataFrame:

@@ -54,8 +54,24 @@ def read_headers(spark: SparkSession, path: str, delimiter: str = ",") -> list[s
 
 
 def _first_row(spark: SparkSession, path: str, delimiter: str) -> list[str | None]:
-    return list((spark.read.option("header", "false").option("sep", delimiter).option("quote", '"')
-                 .option("escape", '"').csv(path).first()) or ())
+    # The white space around names goes here as it does when Spark compares headers.
+    options = csv_options(delimiter) | {"header": "false", "columnPruning": "true"}
+    options.pop("columnNameOfCorruptRecord")
+    return list(spark.read.options(**options).csv(path).first() or ())
+
+
+class HeaderDiffers(ValueError):
+    """A file of a load names other columns, or the same in another order."""
+
+
+def check_headers(spark: SparkSession, files: list[str], names: list[str], delimiter: str = ",") -> None:
+    """Raise unless every file's normalised header is ``names``. Reads one row per file; only for headers with blank
+    names, which Spark's own comparison does not know."""
+    wanted = [n.lower() for n in names]
+    for file in files:
+        found = normalize_headers(_first_row(spark, file, delimiter))
+        if [n.lower() for n in found] != wanted:
+            raise HeaderDiffers(f"{file} has the columns {found}, not {names}")
 
 
 def read_csv_raw(spark: SparkSession, path: str, delimiter: str = ",", multiline: bool = False,
@@ -70,8 +86,10 @@ def read_csv_raw(spark: SparkSession, path: str, delimiter: str = ",", multiline
     given = _first_row(spark, path, delimiter)
     names = validate_headers(normalize_headers(given))
     reader = spark.read.options(**csv_options(delimiter, multiline)).schema(text_schema(names))
-    # Spark compares the header of every file; names that were blank cannot be compared.
+    # Spark compares the header of every file, but for names that are blank in it.
     df = reader.option("enforceSchema", str(given != names).lower()).csv(path)
+    if given != names:
+        check_headers(spark, df.inputFiles(), names, delimiter)
     df = df.withColumn(SOURCE_FILE, F.col("_metadata.file_path"))
     if row_numbers:
         df = with_row_number(df, base + FIRST_DATA_ROW - 1)

@@ -27,7 +27,7 @@ from ..operators.dedupe import insert_idempotent
 from ..operators.validate import (
     ERRORS, HISTORY, QUARANTINED, ROW_NUMBER, SOURCE_FILE, SYSTEM_COLUMNS, annotate, clean_part, to_quarantine,
 )
-from .csv import compare_append_columns
+from .csv import FIRST_DATA_ROW, compare_append_columns, unique_row_id
 
 MODES = ("new", "replace", "append")
 CATALOG_SCHEMA = (
@@ -63,7 +63,7 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path)
 
 
-def _delete(spark: SparkSession, path: str) -> bool:
+def delete_path(spark: SparkSession, path: str) -> bool:
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
 
@@ -160,7 +160,8 @@ class Store:
 
         new: fails when the dataset exists. replace: drops the old rows once the new ones are stored.
         append: refuses other columns than the stored ones (``AppendRefused`` has the comparison) and
-        numbers the rows after the last stored one. A ``load_id`` makes a run repeatable: a load that is
+        numbers the rows after the last stored one. A frame without row numbers gets unique ones, so that its
+        quarantined rows can be found and restored. A ``load_id`` makes a run repeatable: a load that is
         there already is reported and not written again.
         """
         if mode not in MODES:
@@ -172,6 +173,8 @@ class Store:
             raise ValueError(f"dataset {dataset!r} exists")
         if mode == "append" and entry is None:
             raise ValueError(f"dataset {dataset!r} does not exist")
+        if ROW_NUMBER not in raw.columns:
+            raw = unique_row_id(raw, FIRST_DATA_ROW - 1)
         if mode == "append":
             schema = columns_from_json(entry["columns"])
             compared = compare_append_columns(schema, [c for c in raw.columns if c not in SYSTEM_COLUMNS])
@@ -199,7 +202,7 @@ class Store:
                             loads=[*kept, {"id": load, "columns": columns_to_json(schema)}])
         if mode == "replace":  # no entry names them any more
             for x in old:
-                _delete(self.spark, self._path(dataset, f"records/load={x['id']}"))
+                delete_path(self.spark, self._path(dataset, f"records/load={x['id']}"))
         return report
 
     def _report(self, dataset: str, load_id: str) -> IngestReport:
@@ -270,7 +273,7 @@ class Store:
         present = [d for d in dict.fromkeys(datasets) if self.entry(d) is not None]
         for d in present:
             e = self.entry(d)
-            _delete(self.spark, f"{self.root}/data/{d}")
+            delete_path(self.spark, f"{self.root}/data/{d}")
             self.update_catalog(d, name=e["name"], mode=e["mode"], columns=[], row_count=0,
                                 quarantined_count=0, deleted=True, created_at=e["created_at"])
         return {"requested_count": len(datasets), "deleted_count": len(present)}

@@ -9,8 +9,8 @@ from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from ..operators.columns import ColumnMeta
 from ..operators.validate import ROW_NUMBER, SOURCE_FILE, annotate, clean_part, to_quarantine
-from ..sources.csv import csv_options, text_schema
-from ..sources.store import path_exists
+from ..sources.csv import HeaderDiffers, check_headers, csv_options, text_schema
+from ..sources.store import delete_path, path_exists
 
 PROGRESS = "ingest_progress"
 
@@ -55,7 +55,7 @@ def stream_ingest(spark: SparkSession, in_dir: str, out_dir: str, schema: list[C
     the batches before it.
     """
     names = [c.name for c in schema]
-    # Headers are compared unless a name was blank in the file.
+    # Spark compares headers. Names that may be blank in a file are compared here, one row per file of a batch.
     named = not any(re.fullmatch(r"column_\d+", n) for n in names)
     reader = spark.readStream.options(**csv_options(delimiter), enforceSchema=str(not named).lower()).schema(text_schema(names))
     if max_files:
@@ -75,6 +75,14 @@ def stream_ingest(spark: SparkSession, in_dir: str, out_dir: str, schema: list[C
         (batch.withColumn(ROW_NUMBER, F.monotonically_increasing_id() + F.lit(last + 1))
          .observe(seen, F.max(ROW_NUMBER).alias("last"))
          .write.mode("overwrite").partitionBy("_valid").parquet(f"{out_dir}/records/batch={batch_id}"))
+        if not named:  # from the stored rows: the batch itself is read, and its rows are observed, once
+            written = f"{out_dir}/records/batch={batch_id}"
+            files = batch.sparkSession.read.schema(f"{SOURCE_FILE} string").parquet(written).distinct().collect()
+            try:
+                check_headers(batch.sparkSession, [r[0] for r in files], names, delimiter)
+            except HeaderDiffers:
+                delete_path(batch.sparkSession, written)
+                raise
         (batch.sparkSession.range(1).select(F.lit(seen.get["last"] or last).cast("long").alias("last"))
          .write.mode("overwrite").parquet(f"{numbers}/batch={batch_id}"))
 
