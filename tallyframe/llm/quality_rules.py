@@ -160,6 +160,7 @@ def quality_report(docs: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of ``documents`` that the rules keep, as they came."""
     df = columns(docs, doc_id="bigint", text="string", lang="string", source="string", n_chars="bigint")
-    df = df.select("*", F.struct("text", "lang").alias("given"))
+    # Null texts fail the base rules; of null languages only the mark is stored besides.
+    df = df.withColumn("no_lang", F.col("lang").isNull())
     kept = judge(written(measure(df), "quality-documents")).where("kept")
-    return kept.select("doc_id", "given.text", "given.lang", "source", "n_chars")
+    return kept.select("doc_id", "text", F.when(~F.col("no_lang"), F.col("lang")).alias("lang"), "source", "n_chars")
