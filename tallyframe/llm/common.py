@@ -10,6 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import scratch_dir
+from ..sources.store import delete_path
 from ..sources.tables import load
 
 
@@ -61,6 +62,25 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Stored steps of one computation, which ``clear`` deletes once its result is stored and nothing reads them."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        """As the function ``written``."""
+        path = scratch_dir(self.spark, name)
+        self.paths.append(path)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self, keep: int = 0) -> None:
+        """Delete all but the last ``keep`` of them."""
+        last = max(len(self.paths) - keep, 0)
+        for path in self.paths[:last]:
+            delete_path(self.spark, path)
+        self.paths = self.paths[last:]
 
 
 class ChunkTable:
@@ -143,26 +163,31 @@ def doc_ends(ends: np.ndarray, chunks_per_doc: np.ndarray) -> np.ndarray:
     return np.concatenate(([0], ends))[np.cumsum(chunks_per_doc)]
 
 
-def connected(edges: DataFrame, name: str) -> DataFrame:
+def connected(edges: DataFrame, name: str, own: Scratch | None = None) -> DataFrame:
     """Components of a graph as (node, root): root is the smallest node that can be reached.
 
     ``edges`` has two comparable columns. Only nodes with an edge appear. Union-find by alternating
     stars: every node hangs its larger neighbours, then all its neighbours, under the smallest one
-    it sees; a component ends as one star. Each round is written to the shared folder.
+    it sees; a component ends as one star. Each round is written to the shared folder, where the last
+    one stays, or goes with the steps of ``own``.
     """
+    rounds = Scratch(edges.sparkSession)
     a, b = edges.columns
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u != v").distinct()
-    e = written(e, name)
+    e = rounds.written(e, name)
     seen = None
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         e = _hang(both, F.col("v") > F.col("u"))
         e = _hang(e.unionByName(e.select(F.col("u"), F.col("u").alias("v"))), F.lit(True))
-        e = written(e, name)
+        e = rounds.written(e, name)
+        rounds.clear(keep=1)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
             break
         seen = now
+    if own is not None:
+        own.paths += rounds.paths
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
 
@@ -175,5 +200,5 @@ def _hang(edges: DataFrame, which: Column) -> DataFrame:
             .select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct())
 
 
-__all__ = ["ChunkTable", "by_batch", "columns", "connected", "doc_ends", "documents", "load", "scratch_dir", "shared",
+__all__ = ["ChunkTable", "Scratch", "by_batch", "columns", "connected", "doc_ends", "documents", "load", "scratch_dir", "shared",
            "slices", "utf8", "word_lists", "written", "SparkSession"]

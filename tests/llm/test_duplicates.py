@@ -237,3 +237,38 @@ def test_lines_without_spaces(spark):
     assert near_copies_found(spark, texts, ["新" + t for t in texts] + edited) >= 0.98
     short = [t[:9] for t in texts]
     assert near_copies_found(spark, short, [t + "新" for t in short]) >= 0.98
+
+
+def test_lines_of_a_small_vocabulary(spark):
+    """Pairs of lines out of the same few numbers, whose five-character shingles agree and whose longer ones do not."""
+    rng = np.random.default_rng(6)
+    first, second = [], []
+    for _ in range(60):
+        few = rng.choice(np.arange(10, 100), 8, replace=False)
+        for out in (first, second):
+            out.append(",".join(map(str, rng.choice(few, 600))))
+    sets = [(shingles(a), shingles(b)) for a, b in zip(first, second)]
+    assert all(len(a & b) >= 0.8 * len(a | b) for a, b in sets)
+    assert near_copies_found(spark, first, second) >= 0.97
+
+
+def test_lines_at_the_limit(spark):
+    """Recall at similarities from 0.8 on, for lines short and long; groups beyond one band's pairs meet as well."""
+    rng = np.random.default_rng(8)
+    line = lambda n: "".join(map(chr, rng.integers(0x4E00, 0x9000, n)))
+    texts, copies = [], []
+    for n in (20, 40, 60, 100, 200, 400):
+        for _ in range(50):
+            t = line(n)
+            cut = int(n / 10)
+            copy = t[:-cut] + line(1)
+            a, b = shingles(t), shingles(copy)
+            assert 0.8 <= len(a & b) / len(a | b) < 0.97
+            texts.append(t)
+            copies.append(copy)
+    assert near_copies_found(spark, texts, copies) >= 0.97
+    base = line(120)
+    group = [base[:k] + line(1) + base[k + 1:] for k in range(100)]
+    assert near_copies_found(spark, [base], group) == 1
+    odd = [line(60) + line(240)[:k % 7] for k in range(40)]
+    assert near_copies_found(spark, odd, [odd[0] + "x"]) == 1
