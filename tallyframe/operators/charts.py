@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..plans.query import run_query
 
@@ -17,7 +17,7 @@ QUARTILES = (0.25, 0.5, 0.75)
 
 BOX = ("min", "q1", "median", "q3", "max")
 _BLOCK = 10_000          # bins made by one task
-_SMALL = 1_000_000       # values one task may rank
+_BUCKETS = 1024          # parts of a bracket of values in one pass
 _ACCURACY = 10_000       # of the quantile sketch: rank error is at most rows / this
 
 
@@ -94,13 +94,12 @@ def _approximate_boxes(df: DataFrame, named: dict[str, Column]) -> DataFrame:
 
 
 def _exact_boxes(df: DataFrame, named: dict[str, Column]) -> DataFrame:
-    """Exact quartiles without bringing a measure's values into one task.
+    """Exact quartiles by selection: no sort, no window, no group of values in one task.
 
-    The values are counted first, and few of them are ranked as they are. Of many,
-    a mergeable sketch brackets every wanted rank, and only the distinct values
-    inside a bracket are ranked, after counting those below it. A bracket with too
-    many distinct values is narrowed by another sketch. Only counts and brackets
-    reach the driver.
+    Every wanted rank lies in a bracket of values, at first the whole range. Each pass cuts all open
+    brackets into buckets and counts them in the map tasks; of a bucket with a wanted rank the smallest and
+    largest value are the next bracket, until both are one. The range of doubles is used up after some
+    ten passes, usual data after three. Up to ``_BUCKETS`` + 1 counts per open bracket reach the driver.
     """
     spark = df.sparkSession
     values = df.select(*(number(c).alias(f"v{i}") for i, c in enumerate(named.values())))
@@ -109,108 +108,66 @@ def _exact_boxes(df: DataFrame, named: dict[str, Column]) -> DataFrame:
         v = F.col(f"v{i}")
         aggs += [F.count(v).alias(f"n{i}"), F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}")]
     head = values.agg(*aggs).first().asDict()
-    large = [i for i in range(len(named)) if head[f"n{i}"] > _SMALL]
-    if large:
-        head |= values.agg(*(F.percentile_approx(f"v{i}", _bracket_points(), _ACCURACY).alias(f"s{i}")
-                             for i in large)).first().asDict()
-    wanted = []
-    for i, label in enumerate(named):
-        n = head[f"n{i}"]
-        if n == 0:
-            continue
-        for j, p in enumerate(QUARTILES):
-            rank = (n - 1) * p
-            whole = n <= _SMALL
-            lo, hi = (head[f"lo{i}"], head[f"hi{i}"]) if whole else head[f"s{i}"][2 * j: 2 * j + 2]
-            wanted.append({"i": i, "label": label, "j": j, "n": n, "rank": int(rank), "part": rank - int(rank),
-                           "lo": lo, "hi": hi, "min": head[f"lo{i}"], "max": head[f"hi{i}"], "small": whole})
-    if not wanted:
-        return spark.createDataFrame([], "measure string, n long, min double, q1 double, median double, q3 double, max double")
-    wanted = _narrow(values, wanted)
-    return _rank_brackets(values, wanted)
-
-
-def _bracket_points() -> list[float]:
-    error = 2.0 / _ACCURACY
-    return [min(max(p + d, 0.0), 1.0) for p in QUARTILES for d in (-error, error)]
-
-
-def _inside(w: dict) -> Column:
-    return F.col(f"v{w['i']}").between(w["lo"], w["hi"])
-
-
-def _narrow(values: DataFrame, wanted: list[dict], rounds: int = 12) -> list[dict]:
-    """Shrink brackets until one task can rank the distinct values of each.
-
-    A bracket counts only once its rows were counted: it must hold the wanted rank
-    and, where the quartile lies between two values, the next one. One that does
-    not falls back to the last that did.
-    """
-    for w in wanted:
-        w["sure"] = (w["min"], w["max"])
-    for _ in range(rounds):
-        left = [w for w in wanted if not w["small"]]
-        if not left:
-            break
-        aggs = []
-        for k, w in enumerate(left):
-            v, inside = F.col(f"v{w['i']}"), _inside(w)
-            aggs += [F.count_if(v < w["lo"]).alias(f"b{k}"), F.count_if(inside).alias(f"c{k}"),
-                     F.approx_count_distinct(F.when(inside, v), 0.02).alias(f"d{k}")]
-        row = values.agg(*aggs).first()
-        refine = []
-        for k, w in enumerate(left):
-            below, held = row[f"b{k}"], row[f"c{k}"]
-            last = w["rank"] + (1 if w["part"] > 0 else 0)
-            if below <= w["rank"] and last < below + held:
-                w["sure"] = (w["lo"], w["hi"])
-                w["small"] = w["lo"] == w["hi"] or min(held, row[f"d{k}"]) <= _SMALL
-                if not w["small"]:
-                    refine.append((w, (w["rank"] - below) / held))
-            else:
-                w["small"] = True
-        if refine:
-            error = 2.0 / _ACCURACY
-            sketches = [F.percentile_approx(F.when(_inside(w), F.col(f"v{w['i']}")),
-                                            [max(p - error, 0.0), min(p + error, 1.0)], _ACCURACY).alias(f"s{k}")
-                        for k, (w, p) in enumerate(refine)]
-            row = values.agg(*sketches).first()
-            for k, (w, _p) in enumerate(refine):
-                w["lo"], w["hi"] = row[f"s{k}"]
-                w["small"] = (w["lo"], w["hi"]) == w["sure"]  # as narrow as it gets
-    for w in wanted:
-        w["lo"], w["hi"] = w["sure"]
-    return wanted
-
-
-def _rank_brackets(values: DataFrame, wanted: list[dict]) -> DataFrame:
-    """Quartiles from the ranked distinct values of each bracket."""
-    brackets = list(dict.fromkeys((w["i"], w["lo"], w["hi"]) for w in wanted))
-    cells = F.array(*(F.struct(
-        F.lit(k).alias("k"), F.when(F.col(f"v{i}").between(lo, hi), F.col(f"v{i}")).alias("v"),
-        (F.col(f"v{i}") < lo).alias("below")) for k, (i, lo, hi) in enumerate(brackets)))
-    cut = values.select(F.inline(cells)).filter(F.col("v").isNotNull() | F.col("below"))
-    # equal values merge in the map tasks; all values below a bracket become one row
-    counts = cut.groupBy("k", "v").agg(F.count(F.lit(1)).alias("c"))
-    upto = F.sum("c").over(Window.partitionBy("k").orderBy(F.col("v").asc_nulls_first())
-                           .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    # of each bracket, the first value that reaches a rank and the first that passes it
-    out = counts.withColumn("upto", upto).filter(F.col("v").isNotNull())
-    picks = []
-    for n, w in enumerate(wanted):
-        mine = F.col("k") == brackets.index((w["i"], w["lo"], w["hi"]))
-        picks += [F.min(F.when(mine & (F.col("upto") > w["rank"]), F.col("v"))).alias(f"low{n}"),
-                  F.min(F.when(mine & (F.col("upto") > w["rank"] + 1), F.col("v"))).alias(f"high{n}")]
-    found = out.agg(*picks)
+    wanted = {}  # measure number -> whole and fractional part of each quartile's rank
+    for i in range(len(named)):
+        if head[f"n{i}"]:
+            wanted[i] = [divmod((head[f"n{i}"] - 1) * p, 1) for p in QUARTILES]
+    # (measure number, low, high, values below, ranks inside)
+    brackets = [(i, head[f"lo{i}"], head[f"hi{i}"], 0, sorted({int(r) + d for r, part in ranks for d in ((0, 1) if part else (0,))}))
+                for i, ranks in wanted.items()]
+    found = {}
+    while brackets:
+        done = [b for b in brackets if b[1] == b[2]]
+        found |= {(i, r): lo for i, lo, _, _, ranks in done for r in ranks}
+        brackets = _narrowed(values, [b for b in brackets if b[1] != b[2]])
     rows = []
-    for label in dict.fromkeys(w["label"] for w in wanted):
-        mine = [(n, w) for n, w in enumerate(wanted) if w["label"] == label]
-        first = mine[0][1]
-        quartiles = [(F.col(f"low{n}") + w["part"] * (F.col(f"high{n}") - F.col(f"low{n}")) if w["part"] > 0
-                      else F.col(f"low{n}")).alias(name) for (n, w), name in zip(mine, BOX[1:4], strict=True)]
-        rows.append(F.struct(F.lit(label).alias("measure"), F.lit(first["n"]).cast("long").alias("n"),
-                             F.lit(first["min"]).alias("min"), *quartiles, F.lit(first["max"]).alias("max")))
-    return found.select(F.inline(F.array(*rows)))
+    for i, label in enumerate(named):
+        if i in wanted:
+            low = [found[i, int(r)] for r, _ in wanted[i]]
+            quartiles = [x + part * (found[i, int(r) + 1] - x) if part else x for x, (r, part) in zip(low, wanted[i], strict=True)]
+            rows.append((label, head[f"n{i}"], head[f"lo{i}"], *quartiles, head[f"hi{i}"]))
+    return spark.createDataFrame(rows, "measure string, n long, min double, q1 double, median double, q3 double, max double")
+
+
+def _narrowed(values: DataFrame, brackets: list[tuple]) -> list[tuple]:
+    """The brackets of the next pass: buckets that hold a wanted rank."""
+    if not brackets:
+        return []
+    cells = []
+    for k, (i, lo, hi, _, _) in enumerate(brackets):
+        v = F.col(f"v{i}")
+        inside = v.between(lo, hi)
+        cells.append(F.struct(F.lit(k).alias("k"), F.when(inside, v).alias("v"), F.when(inside, _bucket(v, lo, hi)).alias("bucket")))
+    rows = values.select(F.inline(F.array(*cells))).where("v is not null")
+    counts = rows.groupBy("k", "bucket").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()
+    out = []
+    for k, (i, _, _, below, ranks) in enumerate(brackets):
+        for r in sorted((r for r in counts if r["k"] == k), key=lambda r: r["bucket"]):
+            inside = [x for x in ranks if below <= x < below + r["n"]]
+            if inside:
+                out.append((i, r["lo"], r["hi"], below, inside))
+            below += r["n"]
+    return out
+
+
+def _bucket(v: Column, lo: float, hi: float) -> Column:
+    """A number that never falls as ``v`` grows and differs between ``lo`` and ``hi``: by sign, by size where the
+    bracket spans many orders of magnitude, else evenly."""
+    if lo < 0 < hi:
+        return F.signum(v).cast("int")
+    small, large = sorted((abs(lo), abs(hi)))
+    if not small:
+        return (v != 0).cast("int") * (1 if hi > 0 else -1)
+    if math.log(large) - math.log(small) > 1:
+        share = (F.log(F.abs(v)) - F.log(F.lit(small))) / (F.log(F.lit(large)) - F.log(F.lit(small)))
+        share = share if lo > 0 else 1 - share
+    elif math.isfinite(hi - lo):
+        share = (v - lo) / F.lit(hi - lo)
+    else:
+        share = (v / 2 - lo / 2) / F.lit(hi / 2 - lo / 2)
+    share = F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0))
+    # Rounding must not put both ends into one bucket, or a pass would gain nothing.
+    return F.when(v == lo, 0).when(v == hi, _BUCKETS).otherwise(F.least(F.floor(share * _BUCKETS).cast("int"), F.lit(_BUCKETS - 1)))
 
 
 def scatter(df: DataFrame, x: str, y: str, limit: int | None = None) -> DataFrame:

@@ -31,11 +31,10 @@ def test_histogram_special_cases(spark):
     assert out.count() == 25_000 and out.groupBy().sum("count").first()[0] == 2
 
 
-@pytest.mark.parametrize("small, accuracy", [(1_000_000, 10_000), (40, 50), (3, 20)])
-def test_boxplot_is_exact_on_every_path(spark, monkeypatch, small, accuracy):
-    """The bracket search is forced by treating few values as many."""
-    monkeypatch.setattr(charts, "_SMALL", small)
-    monkeypatch.setattr(charts, "_ACCURACY", accuracy)
+@pytest.mark.parametrize("buckets", [1024, 40])
+def test_boxplot_is_exact_on_every_path(spark, monkeypatch, buckets):
+    """Few buckets force many passes."""
+    monkeypatch.setattr(charts, "_BUCKETS", buckets)
     rng = random.Random(5)
     skewed = [7.0] * 400 + [rng.uniform(-1, 50) for _ in range(601)]  # one value holds a third
     rows = [(x, rng.gauss(0, 1), None if i % 3 else float(i)) for i, x in enumerate(skewed)]
@@ -45,6 +44,24 @@ def test_boxplot_is_exact_on_every_path(spark, monkeypatch, small, accuracy):
         assert got[name] == pytest.approx(np.percentile(values, [0, 25, 50, 75, 100]))
 
 
+def test_boxplot_selects_over_the_whole_range_of_doubles(spark):
+    rng = random.Random(9)
+    wide = [0.0, -0.0, 5e-324, -5e-324, 1e-310, 1.7e308, -1.7e308] + [rng.choice((-1, 1)) * 2.0 ** rng.uniform(-1070, 1020) for _ in range(301)]
+    close = [1.0 + k * 2.0 ** -52 for k in range(200)] * 2 + [1e300] * 109 + [-1e-300] * 20
+    tiny = [5e-324 * (k % 7) for k in range(1001)]
+    frames = {"wide": wide, "close": close, "below": [-abs(x) for x in wide], "tiny": tiny, "one": [3.5]}
+    rows = [tuple(v[k] if k < len(v) else None for v in frames.values()) for k in range(max(map(len, frames.values())))]
+    df = spark.createDataFrame(rows, ", ".join(f"{n} double" for n in frames)).repartition(4)
+    got = {r["measure"]: r for r in boxplot(df, list(frames)).collect()}
+    for name, values in frames.items():
+        v = sorted(values)
+        for p, key in zip((0.25, 0.5, 0.75), ("q1", "median", "q3")):
+            at = (len(v) - 1) * p
+            k, part = int(at), at - int(at)
+            assert got[name][key] == (v[k] + part * (v[k + 1] - v[k]) if part else v[k]), (name, key)
+        assert (got[name]["n"], got[name]["min"], got[name]["max"]) == (len(v), v[0], v[-1])
+
+
 def test_boxplot_small_inputs(spark):
     df = spark.createDataFrame([(1.0, None), (2.0, None)], "a double, b double")
     assert [tuple(r) for r in boxplot(df, ["a", "b"]).collect()] == [("a", 2, 1.0, 1.25, 1.5, 1.75, 2.0)]
