@@ -18,7 +18,7 @@ import heapq
 import json
 import re
 from collections.abc import Iterator
-from itertools import groupby
+from itertools import chain, groupby
 from operator import itemgetter
 
 import numpy as np
@@ -31,9 +31,10 @@ from pyspark.sql import DataFrame, functions as F
 from .common import by_batch, documents, shared, written
 from .piece_codec import check_model, word_encoder
 
+STEP = 1 << 13        # distinct chunks encoded at a time
 RADIX = 16            # ids of the second tokenizer are dealt to this many radices
 FAN_IN = 16           # runs one heap merges
-BATCH = 8 << 20       # bytes of text behind one run of each radix
+BATCH = 4 << 20       # bytes of text behind one run of each radix
 BLOCK = 1 << 16       # pairs of a block of counts
 BORDER = re.compile(r"(?<=\S)(?= )")
 RUNS = ("batch long, radix int, head binary, body binary, doc_id array<bigint>, n_a array<bigint>, n_b array<bigint>, "
@@ -60,63 +61,60 @@ def check_tokenizer(path: str) -> None:
 
 
 class Chunks:
-    """Distinct chunks with their tokens, groups and links. Bounded: it starts anew when it is full."""
+    """Tokens, groups and links of the distinct chunks of one batch. Columns, not objects per chunk; the
+    libraries' own objects live for ``STEP`` chunks."""
 
-    def __init__(self, a_path: str, b_path: str, limit: int = 120_000, bytes_limit: int = 16 << 20):
+    def __init__(self, a_path: str, b_path: str):
         from tokenizers import Tokenizer
 
         self.a = Tokenizer.from_file(a_path)
         self.a.encode_special_tokens = True
-        self.a_bytes = byte_level(self.a.get_vocab(with_added_tokens=False))
+        names = byte_level(self.a.get_vocab(with_added_tokens=False))
         sp, self.encode_b = word_encoder(b_path)
-        self.b_bytes = [self.piece(sp.id_to_piece(i), sp.is_byte(i)) for i in range(sp.get_piece_size())]
-        self.limit, self.bytes_limit = limit, bytes_limit
-        self.clear()
+        self.a_bytes = pa.array([names.get(i, b"") for i in range(self.a.get_vocab_size())], pa.binary())
+        self.b_bytes = pa.array([self.piece(sp.id_to_piece(i), sp.is_byte(i)) for i in range(sp.get_piece_size())], pa.binary())
+        self.decimal = pa.array([str(i) for i in range(max(len(self.a_bytes), len(self.b_bytes)))])
 
     @staticmethod
     def piece(piece: str, is_byte: bool) -> bytes:
         return bytes([int(piece[3:-1], 16)]) if is_byte else piece.replace("▁", " ").encode()
 
-    def clear(self) -> None:
-        self.slot: dict[str, int] = {}
-        self.rows: list[tuple[int, int, bool]] = []
-        self.text: list[bytes] = []
-        self.pairs: list[np.ndarray] = []
-        self.bytes = 0
-
-    def add(self, new: list[str]) -> None:
-        found_a = self.a.encode_batch([" " + w for w in new], add_special_tokens=False)
-        for w, a, b in zip(new, found_a, self.encode_b([w.encode() for w in new])):
-            a, raw = a.ids, (" " + w).encode()
-            ab, bb = [self.a_bytes.get(i, b"") for i in a], [self.b_bytes[i] for i in b]
-            ok = b"".join(ab) == raw == b"".join(bb)
-            groups, pairs = _groups(a, b, ab, bb) if ok else ([], [])
-            self.slot[w] = len(self.rows)
-            self.rows.append((len(a), len(b), ok))
-            self.text.append(";".join(groups).encode())
-            self.pairs.append(np.array(pairs, np.int64))
-            self.bytes += 4 * len(raw) + 8 * len(pairs)
-
-    def of(self, words: pa.Array) -> np.ndarray:
-        """Slots of words, valid until the next call."""
+    def aligned(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+        """Per word its numbers of tokens, whether both give its bytes back and its number of links; the links of all
+        words one after another; and the groups of each word as text."""
+        found_a = [e.ids for e in self.a.encode_batch([" " + w for w in words], add_special_tokens=False)]
+        found_b = self.encode_b([w.encode() for w in words])
+        counts = np.array([list(map(len, found_a)), list(map(len, found_b))], np.int64).reshape(2, -1)
+        a, b = (np.fromiter(chain.from_iterable(f), np.int64, n) for f, n in zip((found_a, found_b), counts.sum(1).tolist()))
+        raw = pa.array([b" " + w.encode() for w in words], pa.binary())
+        ok = (_same(self.a_bytes.take(pa.array(a)), counts[0], raw) & _same(self.b_bytes.take(pa.array(b)), counts[1], raw))
+        a, b = a[np.repeat(ok, counts[0])], b[np.repeat(ok, counts[1])]
+        # Words whose bytes agree are equally long on both sides, so places in all of them compare.
+        a_end, b_end = (np.cumsum(pc.binary_length(t.take(pa.array(x))).to_numpy()) for t, x in ((self.a_bytes, a), (self.b_bytes, b)))
+        place = np.searchsorted(b_end, a_end)
+        i = np.flatnonzero(b_end[place] == a_end)
+        j = place[i]
+        size = np.bincount(np.repeat(np.arange(len(words)), np.where(ok, counts[0], 0))[i], minlength=len(words))
+        sides = [pc.binary_join(_lists(self.decimal.take(pa.array(x)), at + 1), ",") for x, at in ((a, i), (b, j))]
+        groups = pc.binary_join(_lists(pc.binary_join_element_wise(*sides, "|"), np.cumsum(size)), ";")
+        return np.stack([*counts, ok, size], 1), b[j] << 32 | a[i], groups
+
+    def of(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+        """Slots of words among their distinct ones, and ``aligned`` of these."""
         coded = words.dictionary_encode()
         own = coded.dictionary.to_pylist()
-        if len(self.rows) > self.limit or self.bytes > self.bytes_limit:
-            self.clear()
-        self.add([w for w in own if w not in self.slot])
-        slots = np.fromiter(map(self.slot.__getitem__, own), np.int64, len(own))
-        return slots[coded.indices.to_numpy(zero_copy_only=False)]
+        rows, links, groups = zip(*[self.aligned(own[i:i + STEP]) for i in range(0, max(len(own), 1), STEP)])
+        return coded.indices.to_numpy(zero_copy_only=False), np.concatenate(rows), np.concatenate(links), pa.concat_arrays(groups)
 
 
-def _groups(a: list[int], b: list[int], ab: list[bytes], bb: list[bytes]) -> tuple[list[str], list[int]]:
-    """Groups between common ends, as text, and the linked pairs of ids (second id in the high half)."""
-    a_end, b_end = np.cumsum([len(x) for x in ab]), np.cumsum([len(x) for x in bb])
-    _, i, j = np.intersect1d(a_end, b_end, assume_unique=True, return_indices=True)
-    groups, x, y = [], 0, 0
-    for p, q in zip((i + 1).tolist(), (j + 1).tolist()):
-        groups.append(f"{','.join(map(str, a[x:p]))}|{','.join(map(str, b[y:q]))}")
-        x, y = p, q
-    return groups, [b[q] << 32 | a[p] for p, q in zip(i.tolist(), j.tolist())]
+def _lists(values: pa.Array, ends: np.ndarray) -> pa.Array:
+    """Values cut at the given ends."""
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), values)
+
+
+def _same(tokens: pa.Array, counts: np.ndarray, raw: pa.Array) -> np.ndarray:
+    """Which words' bytes are those of their tokens."""
+    return pc.equal(pc.binary_join(_lists(tokens, np.cumsum(counts)), b""), raw).to_numpy(zero_copy_only=False)
 
 
 def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -186,10 +184,8 @@ def runs(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
 
 def _batch_runs(table: Chunks, batch: pa.RecordBatch, number: int) -> pa.RecordBatch:
     flat, offsets = words_of(batch.column("text"))
-    slots = table.of(flat)
-    used, slots = np.unique(slots, return_inverse=True)
-    rows = np.array([table.rows[s] for s in used], np.int64).reshape(-1, 3)
-    size = np.array([len(table.pairs[s]) for s in used], np.int64)
+    slots, rows, every, groups = table.of(flat)
+    size = rows[:, 3]
     doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     n = batch.num_rows
     bad = np.bincount(doc, weights=1 - rows[slots, 2], minlength=n) > 0
@@ -197,13 +193,12 @@ def _batch_runs(table: Chunks, batch: pa.RecordBatch, number: int) -> pa.RecordB
     digests = []
     for i, (x, y) in enumerate(zip(offsets.tolist(), offsets[1:].tolist())):
         empty = bad[i] or x == y
-        digests.append("" if empty else hashlib.sha256(b";".join([table.text[s] for s in used[slots[x:y]].tolist()])).hexdigest())
+        digests.append("" if empty else hashlib.sha256(b";".join(groups.take(pa.array(slots[x:y])).cast(pa.binary()).to_pylist())).hexdigest())
     # (chunk, document) pairs are counted before chunks unfold into pairs of ids
     good = ~bad[doc]
     chunk, times = np.unique(slots[good] * n + doc[good], return_counts=True)
     of, doc = chunk // max(n, 1), chunk % max(n, 1)
     first = np.cumsum(size) - size
-    every = np.concatenate([table.pairs[s] for s in used] or [np.zeros(0, np.int64)])
     at = np.repeat(first[of] - (np.cumsum(size[of]) - size[of]), size[of]) + np.arange(int(size[of].sum()))
     keys, code = np.unique(every, return_inverse=True)
     record, where = np.unique(code[at] * n + np.repeat(doc, size[of]), return_inverse=True)

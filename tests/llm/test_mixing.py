@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import hashlib
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -75,6 +77,24 @@ def test_alignment_of_nothing(nothing, tokenizer):
     assert out.documents().count() == 0 and out.pairs().count() == 0
 
 
+def test_alignment_keeps_no_chunks(tokenizer, monkeypatch):
+    """What a worker holds does not grow with the distinct words it has met, and chunks encoded a few at a time
+    give what they give at once."""
+    table = token_alignment.Chunks(tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
+    texts = [" ".join(f"word{i}x{j}" for j in range(2000)) for i in range(20)] + [t for _, t in ODD_SPACES]
+    batch = pa.record_batch([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    tracemalloc.start()
+    try:
+        token_alignment._batch_runs(table, batch, 0)
+        assert tracemalloc.get_traced_memory()[0] < 4 << 20
+    finally:
+        tracemalloc.stop()
+    monkeypatch.setattr(token_alignment, "STEP", 7)
+    few = token_alignment._batch_runs(table, batch.slice(19), 0).to_pylist()
+    monkeypatch.setattr(token_alignment, "STEP", 1 << 20)
+    assert few == token_alignment._batch_runs(table, batch.slice(19), 0).to_pylist()
+
+
 def test_runs_round_trip():
     for x in (np.zeros(0, np.int64), np.array([0, 255, 256, 1 << 40]), np.arange(1000) << 32):
         assert [y.tolist() for y in token_alignment.unpack(token_alignment.pack(x, x[:1]))] == [x.tolist(), x[:1].tolist()]
