@@ -1,10 +1,10 @@
 """HTML extraction by nearest-URL page differencing.
 
-Pages of one host are ordered by URL path. Each page is aligned, line by line, with the neighbour whose path
-shares more with its own, by longest common subsequence; lines both have are the site's and go. What an
-article element holds is the page's own even where a neighbour quotes it, and a neighbour that is a
-copy says nothing about the site, so then the other one is asked. Elements that by name or class hold menus,
-notices, adverts, forms or comments go in any case.
+Pages of one host are ordered by URL path, equal ones as one page. Each page is aligned, line by line, with the
+neighbour whose path shares more with its own, by longest common subsequence; lines both have are the site's and go,
+others stay, within an article element or not. What an article element holds is the page's own even where a neighbour
+quotes it, and a neighbour that is nearly a copy says nothing about the site, so then the other one is asked. Elements
+that by name or class hold menus, notices, adverts, forms or comments go in any case.
 """
 
 from __future__ import annotations
@@ -40,7 +40,7 @@ NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]
 HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?until)|display\s*:\s*none", re.I)
 URL = re.compile(r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)([^?#]*)(\?[^#]*)?")
 
-#: A neighbour that shares more than this part of a page's text is its copy.
+#: A neighbour that shares more than this part of a page's text, and of what its article elements hold, is its copy.
 COPY = 0.8
 
 
@@ -126,10 +126,8 @@ def blocks(page: str) -> list[tuple[str, bool]]:
 
 
 def page_lines(page: str) -> tuple[list[str], list[bool]]:
-    """The lines that may be the article's: those within the article, if the page marks one, else all."""
+    """The lines that may be the article's, and which of them an article element holds."""
     found = blocks(page)
-    if any(inside for _, inside in found):
-        found = [f for f in found if f[1]]
     return [t for t, _ in found], [i for _, i in found]
 
 
@@ -203,14 +201,17 @@ def keep_lines(page: dict, before: dict | None, after: dict | None) -> list[bool
     """Which lines of a page stay, given its neighbours in path order."""
     sides = [s for s in (before, after) if s]
     sides.sort(key=lambda s: -_prefix(page["path"], s["path"]))
-    total = sum(page["sizes"])
     for side in sides:
         shared = common(page["hashes"], side["hashes"])
-        if sum(s for s, c in zip(page["sizes"], shared) if c) <= COPY * total:
+        if not _copy(page["sizes"], shared) or not _copy([s * i for s, i in zip(page["sizes"], page["inside"])], shared):
             return [inside or not c for inside, c in zip(page["inside"], shared)]
     return [True] * len(page["hashes"])
 
 
+def _copy(sizes: list[int], shared: list[bool]) -> bool:
+    return not any(sizes) or sum(s for s, c in zip(sizes, shared) if c) > COPY * sum(sizes)
+
+
 LINES = "path string, hashes array<bigint>, sizes array<int>, inside array<boolean>"
 
 
@@ -257,17 +258,22 @@ def neighbours(light: DataFrame) -> DataFrame:
 
 
 def decisions(pages: DataFrame) -> DataFrame:
-    """``key`` and ``keep``, one flag per line. Equal rows share a key and are one page to their neighbours."""
-    near = neighbours(_parsed(pages, light=True).dropDuplicates(["key"]))
+    """``key`` and ``keep``, one flag per line. Equal rows share a key, and pages of a host with equal lines share a
+    decision: they are one page to their neighbours, at the first of their paths."""
+    light = _parsed(pages, light=True).withColumn("content", F.xxhash64("host", "hashes", "inside"))
+    light = written(light.dropDuplicates(["key"]), "page-lines")
+    first = light.groupBy("content").agg(F.min(F.struct("path", "key", "host", "hashes", "sizes", "inside")).alias("page"))
+    near = neighbours(first.select("content", "page.*"))
 
     def build():
         def run(batch):
             rows = batch.select(["path", "hashes", "sizes", "inside", "before", "after"]).to_pylist()
             keep = [keep_lines(r, r["before"], r["after"]) for r in rows]
-            return pa.record_batch([batch.column("key"), pa.array(keep, pa.list_(pa.bool_()))], ["key", "keep"])
+            return pa.record_batch([batch.column("content"), pa.array(keep, pa.list_(pa.bool_()))], ["content", "keep"])
         return run
-    return by_batch(near.select("key", "path", "hashes", "sizes", "inside", "before", "after"), build,
-                    "key long, keep array<boolean>")
+    keep = by_batch(near.select("content", "path", "hashes", "sizes", "inside", "before", "after"), build,
+                    "content long, keep array<boolean>")
+    return light.select("key", "content").join(keep, "content").select("key", "keep")
 
 
 def extract(pages: DataFrame) -> DataFrame:

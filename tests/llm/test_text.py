@@ -42,6 +42,36 @@ def test_shared_lines_go(spark):
     assert page_text.extract(pages.limit(0)).count() == 0
 
 
+def marked(article, *outside):
+    return f"<html><body><div>Home | News</div><article><p>{article}</p></article>" + "".join(f"<div>{x}</div>" for x in outside) + "</body></html>"
+
+
+def texts_of(spark, rows):
+    pages = spark.createDataFrame([(i, f"http://h.example/{path}", text) for i, (path, text) in enumerate(rows)], "page_id long, url string, html string")
+    return [r.text for r in page_text.extract(pages).orderBy("page_id").collect()]
+
+
+def test_differencing_decides_on_marked_pages(spark):
+    """The page's own lines outside an article element stay, lines that a neighbour has go, the element's lines stay though
+    neighbours have them, and copies of a page are no neighbours to it."""
+    rows = [(f"a/{i}", marked(f"Teaser {i % 2}", f"The real text of page {i}, which no element marks as the article.", "All rights reserved")) for i in range(4)]
+    assert texts_of(spark, rows) == [f"Teaser {i % 2}\n\nThe real text of page {i}, which no element marks as the article." for i in range(4)]
+    same = [(f"a/{i}", marked("Related items", f"The real text of page {i}, which no element marks.")) for i in range(3)]
+    assert texts_of(spark, same) == [f"Related items\n\nThe real text of page {i}, which no element marks." for i in range(3)]
+    # a short article amid a large template, and several copies of it under near addresses
+    template = "The site says much about itself in each of its pages. " * 9
+    short = [("b/1", marked("Short one", template))] * 2 + [(f"b/1?page={i}", marked("Short one", template)) for i in range(3)]
+    short += [("c/2", marked("Brief two", template))]
+    assert texts_of(spark, short) == ["Short one"] * 5 + ["Brief two"]
+
+
+def test_copies_lose_the_site_lines(spark):
+    """Pages without marked articles, three and more copies side by side: each is compared with the next other page."""
+    rows = [(f"a/1?utm={i}", page("Home | News", "Article one is about gardens", "All rights reserved")) for i in range(4)]
+    rows += [("a/2", page("Home | News", "Article two tells of something else entirely", "All rights reserved"))]
+    assert texts_of(spark, rows) == ["Article one is about gardens"] * 4 + ["Article two tells of something else entirely"]
+
+
 def test_markup():
     text = """<!doctype html><head><title>T</title><style>p > a{}</style></head><body class="no-sidebar"><header>Site</header>
       <div id="cookie-notice"><p>We use cookies</p></div>
