@@ -272,3 +272,23 @@ def test_lines_at_the_limit(spark):
     assert near_copies_found(spark, [base], group) == 1
     odd = [line(60) + line(240)[:k % 7] for k in range(40)]
     assert near_copies_found(spark, odd, [odd[0] + "x"]) == 1
+
+
+def test_lines_that_face_none_get_no_keys(spark):
+    """In a large band, sizes that allow no link make no keys, and linked lines of two components at the limit of
+    sizes and of similarity are still compared."""
+    long, limit = "abcdefghijklmnopqrstuvwxyz0123456789", "abcdefghijklmnopqrst"
+    texts = {1: long, 2: long[:-2], 3: long[:12], 4: limit, 5: limit[:-3], 6: limit[:9]}
+    frame = spark.createDataFrame([(i, t) for i, t in texts.items()], "digest long, line string")
+    size = {i: len(t) - line_dedup.WIDTH + 1 for i, t in texts.items()}
+    large = spark.createDataFrame([(7, i, size[i]) for i in (1, 2, 3)] + [(8, i, size[i]) for i in (4, 5, 6)], "band long, digest long, n int")
+    roots = spark.createDataFrame([(1, 1), (2, 1)], "node long, root long")
+    made = {}
+
+    class Counted(line_dedup.Scratch):
+        def written(self, df, name):
+            made[name] = super().written(df, name)
+            return made[name]
+    pairs = line_dedup.between(large, roots, frame, Counted(spark))
+    assert [tuple(r) for r in pairs.collect()] == [(4, 5)]
+    assert {r.digest for r in made["lines-postings"].collect()} == {4, 5}
