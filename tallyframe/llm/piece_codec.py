@@ -21,7 +21,9 @@ from .common import ChunkTable, by_batch, documents, shared
 
 MARK = "▁"
 #: Bytes of text taken at a time: their ids are Python numbers for a while.
-BATCH = 4 << 20
+BATCH = 1 << 20
+#: Bytes of distinct words that a worker keeps. Workers outlive their task and stand beside the heap of the next stages.
+TABLE = 8 << 20
 SPACED = re.compile(b" *[^ ]*")
 
 
@@ -114,7 +116,7 @@ class _Step:
 
     def __init__(self, path: str):
         self.sp, encode = word_encoder(path)
-        self.table = ChunkTable(encode, limit=24 << 20)
+        self.table = ChunkTable(encode, limit=TABLE)
         self.decimal = [b"%d" % i for i in range(self.sp.get_piece_size())]
 
     def __call__(self, batch: pa.RecordBatch):
